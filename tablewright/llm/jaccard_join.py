@@ -94,13 +94,14 @@ class Counts:
     def __init__(self, bits: np.ndarray, keys: np.ndarray, levels: np.ndarray):
         self.bits, self.keys, self.levels = bits, keys, levels
 
-    def level(self, g: np.ndarray) -> np.ndarray:
-        """0 for rare, 1 for unknown, then by count."""
-        out = (g >= HALF).astype(np.uint8)
+    def level(self, g: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """0 for shingles of one document, 1 for rare and 2 for unknown ones,
+        then by count."""
+        out = np.where(g >= HALF, np.uint8(2), np.where(single, np.uint8(0), np.uint8(1)))
         if len(self.keys):
             i = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
             hit = self.keys[i] == g
-            out[hit] = self.levels[i[hit]]
+            out[hit] = self.levels[i[hit]] + np.uint8(1)
         return out
 
     def single(self, g: np.ndarray) -> np.ndarray:
@@ -168,11 +169,12 @@ class Prefixes:
     def of(self, g: np.ndarray) -> tuple[np.ndarray, float]:
         """The regions' shingles and the mean level of all shingles."""
         kept = self.kept(g)
-        level = self.counts.level(np.where(g < HALF, kept, g))
+        single = self.counts.single(g)
+        level = self.counts.level(np.where(g < HALF, kept, g), single)
         n = len(g)
         first = n - (PERCENT * n + 99) // 100 + 1
         order = np.lexsort((g, level))[:first]
-        return g[order][~self.counts.single(g[order])], float(level.mean())
+        return g[order][~single[order]], float(level.mean())
 
     def kept(self, g: np.ndarray) -> np.ndarray:
         """Lower-half hashes as ``Counts`` knows them: bucket, then 48 bits."""
