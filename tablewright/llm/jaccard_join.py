@@ -19,6 +19,9 @@ them.  Two levels of pivots do:
    that the triangle inequality leaves, ``|d(x,p) - d(y,p)| <= 0.2`` for each
    pivot, and in the window of sizes.  Regions with many such members are
    joined again with new pivots; small ones by comparing the pairs left.
+   Before sets are compared, their sketches are: parities in 1024 cells, a
+   projection that never lengthens the distance |x| + |y| - 2 |x and y|, which
+   must be at most a ninth of |x| + |y|.
 
 Cost at scale: counts are made over all documents (shingles whose hash lies in
 the lower half of the range, as packed arrays); what tasks get of them is
@@ -45,6 +48,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +57,13 @@ from .common import settled, shards_for, slices, texts
 WORDS = 5
 #: Links need ``100 * intersection >= PERCENT * union``.
 PERCENT = 80
-BITMAP_BITS = 27
+BITMAP_BITS = 26
 MOST_FREQUENT = 1 << 20
 FREQUENT_FROM = 4
 BUCKET_ROWS = 8192
+#: Longs of a set's sketch: the parity of its shingles in each of 64 times as
+#: many cells.  Sketches differ in no more bits than sets in elements.
+SKETCH = 16
 SMALL_REGION = 32
 MOST_ROUNDS = 6
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -83,6 +90,17 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return g[np.concatenate([[True], g[1:] != g[:-1]])]
 
 
+def sketch(g: np.ndarray) -> np.ndarray:
+    cells = np.bincount((g & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
+def close(x: str, y: str) -> str:
+    """SQL: sizes and sketches allow a link."""
+    differ = " + ".join(f"bit_count({x}.k{i} ^ {y}.k{i})" for i in range(SKETCH))
+    return f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n) AND {100 + PERCENT} * ({differ}) <= {100 - PERCENT} * ({x}.n + {y}.n)"
+
+
 def set_id(g: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63)
 
@@ -186,14 +204,12 @@ def signed(g: np.ndarray) -> np.ndarray:
     return g.view(np.int64)
 
 
-def document_regions(docs: DataFrame, rows: int, words: int) -> DataFrame:
+def document_regions(docs: DataFrame, counted: Broadcast, rows: int, words: int) -> DataFrame:
     """``doc_id, sid, n, level, regions`` for each document; ``sid`` null for
     documents without shingles."""
     power = min(BITMAP_BITS - 3, max(6, (shards_for(rows, BUCKET_ROWS) - 1).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, rows, words))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = Prefixes(shared.value, power)
+        prefixes = Prefixes(counted.value, power)
         for batch in slices(batches):
             ids, sizes, levels, regions = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -212,21 +228,25 @@ def document_regions(docs: DataFrame, rows: int, words: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, known: DataFrame, words: int) -> DataFrame:
-    """``sid, items`` for the sets named in ``known`` (``sid, doc_id``: one
-    document that has it)."""
+    """``sid, items, n`` and the sketch ``k0 ..`` for the sets named in
+    ``known`` (``sid, doc_id``: one document that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"sid": pa.array([set_id(g) if len(g) else None for g in sets], pa.int64()), "items": pa.array([signed(g) for g in sets], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"sid": pa.array([set_id(g) if len(g) else None for g in sets], pa.int64()), "items": pa.array([signed(g) for g in sets], pa.list_(pa.int64())), "n": pa.array([len(g) for g in sets], pa.int64())} | dict(zip(bits, map(pa.array, np.stack([sketch(g) for g in sets]).T), strict=True)))
 
+    bits = [f"k{i}" for i in range(SKETCH)]
     wanted = known.select(F.col("doc_id").alias("__doc")).distinct()
     rows = texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi").select("text")
-    return rows.mapInArrow(run, "sid long, items array<long>").filter("sid IS NOT NULL").join(known.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+    return rows.mapInArrow(run, "sid long, items array<long>, n long, " + ", ".join(f"{b} long" for b in bits)).filter("sid IS NOT NULL").join(known.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, distance, linked`` of pairs of sets, exactly."""
+    """``a, b, distance, linked`` of pairs of sets, exactly; without the pairs
+    whose sizes or sketches exclude a link."""
+    marks = sets.drop("items")
+    pairs = pairs.join(marks.alias("s"), F.col("a") == F.col("s.sid")).join(marks.alias("t"), F.col("b") == F.col("t.sid")).filter(close("s", "t")).select("a", "b")
     x, y = sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     met = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
@@ -279,10 +299,10 @@ def region_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
         for p in ("1", "2"):
             d = tested.select(F.col("a").alias("sid"), F.col("b").alias(f"p{p}"), F.col("distance").alias(f"d{p}"))
             small = small.join(d, ["sid", f"p{p}"], "left")
-        small = settled(small.select("key", "sid", "n", "root", "d1", "d2"))
+        small = small.select("key", "sid", "root", "d1", "d2").join(sets.drop("items"), "sid")
         x, y = small.alias("x"), small.alias("y")
         window = " AND ".join(f"coalesce(abs(x.d{p} - y.d{p}) <= {1 - PERCENT / 100 + 1e-9}, true)" for p in ("1", "2"))
-        pairs = x.join(y, F.expr(f"x.key = y.key AND x.sid < y.sid AND x.root <> y.root AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) AND {window}")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+        pairs = x.join(y, F.expr(f"x.key = y.key AND x.sid < y.sid AND x.root <> y.root AND {close('x', 'y')} AND {window}")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
         links = links.unionByName(compared(pairs, sets).filter("linked").select("a", "b"))
         left = open_.filter(F.col("m") > SMALL_REGION).select("key", "sid", "n", "level")
         if last or left.isEmpty():
@@ -294,7 +314,9 @@ def region_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document."""
     rows = docs.count()
-    found = settled(document_regions(docs, rows, words))
+    counted = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, rows, words))
+    found = settled(document_regions(docs, counted, rows, words))
+    counted.destroy()  # what follows reads the settled rows
     cells = found.filter("sid IS NOT NULL").select("sid", "n", "level", F.explode("regions").alias("key")).groupBy("key", "sid").agg(F.max("n").alias("n"), F.max("level").alias("level"))
     met = cells.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
     cells = settled(cells.join(met, "key", "left_semi"))
