@@ -1 +1 @@
-
+"""Column functions: text, numbers and identifiers of web tables."""

@@ -1 +1 @@
-
+"""Operators over collections of web tables, sentences and queries."""

@@ -1 +1 @@
-
+"""Readers and writers: dumps, crawled pages, HTML tables, JSON collections."""
