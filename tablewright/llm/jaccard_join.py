@@ -57,15 +57,15 @@ from .common import settled, shards_for, slices, texts
 WORDS = 5
 #: Links need ``100 * intersection >= PERCENT * union``.
 PERCENT = 80
-BITMAP_BITS = 26
-MOST_FREQUENT = 1 << 20
+BITMAP_BITS = 25
+MOST_FREQUENT = 1 << 18
 FREQUENT_FROM = 4
 BUCKET_ROWS = 8192
 #: Longs of a set's sketch: the parity of its shingles in each of 64 times as
 #: many cells.  Sketches differ in no more bits than sets in elements.
 SKETCH = 16
 SMALL_REGION = 32
-MOST_ROUNDS = 6
+MOST_ROUNDS = 1
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 HALF = np.uint64(1 << 63)
 
@@ -300,9 +300,11 @@ def region_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
             d = tested.select(F.col("a").alias("sid"), F.col("b").alias(f"p{p}"), F.col("distance").alias(f"d{p}"))
             small = small.join(d, ["sid", f"p{p}"], "left")
         small = small.select("key", "sid", "root", "d1", "d2").join(sets.drop("items"), "sid")
-        x, y = small.alias("x"), small.alias("y")
+        # Sizes within the bound are of one scale or of neighbouring ones.
+        small = small.withColumn("own", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
+        x, y = small.withColumn("scale", F.explode(F.array(F.col("own"), F.col("own") + 1))).alias("x"), small.alias("y")
         window = " AND ".join(f"coalesce(abs(x.d{p} - y.d{p}) <= {1 - PERCENT / 100 + 1e-9}, true)" for p in ("1", "2"))
-        pairs = x.join(y, F.expr(f"x.key = y.key AND x.sid < y.sid AND x.root <> y.root AND {close('x', 'y')} AND {window}")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+        pairs = x.join(y, F.expr(f"x.key = y.key AND x.scale = y.own AND (x.own < y.own OR x.sid < y.sid) AND x.root <> y.root AND {close('x', 'y')} AND {window}")).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
         links = links.unionByName(compared(pairs, sets).filter("linked").select("a", "b"))
         left = open_.filter(F.col("m") > SMALL_REGION).select("key", "sid", "n", "level")
         if last or left.isEmpty():
