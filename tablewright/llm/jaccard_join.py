@@ -15,7 +15,7 @@ them.  Two levels of pivots do:
    shingles (the middle of a group of near copies) and one by hash.  All
    members are compared with the pivots, exactly.  Members within 0.2 of a
    pivot are one component and need no comparison with each other.  What is
-   left, pairs of members of *different* components, must lie in the window
+   left, pairs of members not known to be one component, must lie in the window
    that the triangle inequality leaves, ``|d(x,p) - d(y,p)| <= 0.2`` for each
    pivot, and in the window of sizes.  Regions with many such members are
    joined again with new pivots; small ones by comparing the pairs left.
@@ -289,16 +289,17 @@ def region_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
         tested = known if tested is None else tested.unionByName(known)
         linked = known.filter("linked").select("a", "b")
         links = linked if links is None else links.unionByName(linked)
-        labels = components(links)
-        open_ = regions.join(labels, regions["sid"] == labels["node"], "left").select("key", "sid", "n", "level", "p1", "p2", F.coalesce("root", "sid").alias("root"))
-        open_ = open_.filter("sid <> p1 AND sid <> p2")
+        open_ = regions
+        for x, y, name in (("sid", "p1", "1"), ("sid", "p2", "2"), ("p1", "p2", "12")):
+            found = tested.select(F.col("a").alias(x), F.col("b").alias(y), F.col("distance").alias(f"d{name}"), F.col("linked").alias(f"l{name}"))
+            open_ = open_.join(found, [x, y], "left")
+        # Members in one ball are one component; so are two balls whose pivots link.
+        ball = F.when(F.col("l1"), F.col("p1")).when(F.col("l2") & F.coalesce("l12", F.lit(False)), F.col("p1")).when(F.col("l2"), F.col("p2")).otherwise(F.col("sid"))
+        open_ = open_.filter("sid <> p1 AND sid <> p2").select("key", "sid", "n", "level", "d1", "d2", ball.alias("root"))
         several = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "m")
         open_ = settled(open_.join(several, "key"))
         last = turn == MOST_ROUNDS
         small = open_ if last else open_.filter(F.col("m") <= SMALL_REGION)
-        for p in ("1", "2"):
-            d = tested.select(F.col("a").alias("sid"), F.col("b").alias(f"p{p}"), F.col("distance").alias(f"d{p}"))
-            small = small.join(d, ["sid", f"p{p}"], "left")
         small = small.select("key", "sid", "root", "d1", "d2").join(sets.drop("items"), "sid")
         # Sizes within the bound are of one scale or of neighbouring ones.
         small = small.withColumn("own", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
