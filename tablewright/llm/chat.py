@@ -6,7 +6,7 @@ are ordered topologically by the calls they depend on, level by level; their
 arguments are validated against the tool's schema; every message is serialised
 as canonical JSON (keys sorted, no blanks), which the variant type gives.
 
-Defined cases: a call id used again counts as the first by (turn, arguments);
+Defined cases: a call id used again has the dependencies of the first by turn;
 of several results the first by turn answers; calls that depend on a missing
 call depend on nothing there; calls on a cycle, or behind one, have a null
 level; arguments that aren't a JSON object are invalid; a tool without a schema
@@ -55,17 +55,15 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     nodes = settled(calls.select("call_id").filter("call_id IS NOT NULL").distinct())
     edges = calls.select("call_id", F.explode("depends_on").alias("needs")).distinct()
     edges = settled(edges.join(nodes.select(F.col("call_id").alias("needs")), "needs", "left_semi"))
-    level = 0
-    done = nodes.join(edges, "call_id", "left_anti").withColumn("level", F.lit(0))
-    while not edges.isEmpty():
-        here = done.filter(F.col("level") == level).select(F.col("call_id").alias("needs"))
-        rest = settled(edges.join(here, "needs", "left_anti"))
-        freed = edges.select("call_id").distinct().join(rest, "call_id", "left_anti").withColumn("level", F.lit(level + 1))
-        freed = settled(freed)
-        if freed.isEmpty():
-            break
-        done, edges, level = done.unionByName(freed), rest, level + 1
-    return nodes.join(done, "call_id", "left")
+    found = nodes.join(edges, "call_id", "left_anti").withColumn("level", F.lit(0))
+    frontier, level = found, 0
+    while not frontier.isEmpty():
+        level += 1
+        met = frontier.select(F.col("call_id").alias("needs"), F.lit(True).alias("met"))
+        marked = settled(edges.select("call_id", "needs").join(met, "needs", "left"))
+        frontier = marked.groupBy("call_id").agg(F.bool_and(F.col("met").isNotNull()).alias("free")).filter("free").select("call_id", F.lit(level).alias("level"))
+        found, edges = found.unionByName(frontier), marked.filter("met IS NULL")
+    return nodes.join(found, "call_id", "left")
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
@@ -75,7 +73,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFram
     Adds ``linked`` (the call has a result, the result has a call), ``valid``
     (calls), ``level`` (calls, and results by their call) and ``canonical``."""
     calls = messages.filter("call_id IS NOT NULL")
-    first = calls.groupBy("call_id").agg(F.min(F.struct("turn", "arguments", "depends_on")).alias("f")).select("call_id", "f.depends_on")
+    first = calls.groupBy("call_id").agg(F.min(F.struct("turn", "depends_on")).alias("f")).select("call_id", "f.depends_on")
     levels = topological_levels(first)
     results = messages.filter("answers IS NOT NULL").groupBy("answers").agg(F.min("turn").alias("answered"))
     known = levels.join(results, F.col("call_id") == F.col("answers"), "left").select(F.col("call_id").alias("id"), "level", F.col("answered").isNotNull().alias("has_result"))
