@@ -28,6 +28,9 @@ def settled(df: DataFrame) -> DataFrame:
     by whatever follows, so that losing an executor costs no recomputation of
     the texts.  Only for rows without texts."""
     ensure_checkpoint_dir(df.sparkSession)
+    # A checkpoint keeps the partitioning that its plan promised; where adaptive
+    # execution coalesced it, a union that relies on the promise fails.
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return df.checkpoint(eager=True)
 
 
