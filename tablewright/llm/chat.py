@@ -55,13 +55,14 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     nodes = settled(calls.select("call_id").filter("call_id IS NOT NULL").distinct())
     edges = calls.select("call_id", F.explode("depends_on").alias("needs")).distinct()
     edges = settled(edges.join(nodes.select(F.col("call_id").alias("needs")), "needs", "left_semi"))
-    found = nodes.join(edges, "call_id", "left_anti").withColumn("level", F.lit(0))
+    found = settled(nodes.join(edges, "call_id", "left_anti").withColumn("level", F.lit(0)))
     frontier, level = found, 0
     while not frontier.isEmpty():
         level += 1
         met = frontier.select(F.col("call_id").alias("needs"), F.lit(True).alias("met"))
         marked = settled(edges.select("call_id", "needs").join(met, "needs", "left"))
-        frontier = marked.groupBy("call_id").agg(F.bool_and(F.col("met").isNotNull()).alias("free")).filter("free").select("call_id", F.lit(level).alias("level"))
+        free = marked.groupBy("call_id").agg(F.bool_and(F.col("met").isNotNull()).alias("free")).filter("free")
+        frontier = settled(free.select("call_id", F.lit(level).alias("level")))
         found, edges = found.unionByName(frontier), marked.filter("met IS NULL")
     return nodes.join(found, "call_id", "left")
 
