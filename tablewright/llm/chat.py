@@ -51,10 +51,13 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict[str, Schema])
 def topological_levels(calls: DataFrame) -> DataFrame:
     """``call_id, level`` of ``calls`` (``call_id, depends_on array<string>``,
     ids distinct): 0 without dependencies, else one more than the deepest.
-    One round a level; each reads settled rows."""
+    Chains by pointer doubling, other graphs by one round a level; each round
+    reads settled rows."""
     nodes = settled(calls.select("call_id").filter("call_id IS NOT NULL").distinct())
     edges = calls.select("call_id", F.explode("depends_on").alias("needs")).distinct()
     edges = settled(edges.join(nodes.select(F.col("call_id").alias("needs")), "needs", "left_semi"))
+    if edges.groupBy("call_id").count().filter("count > 1").isEmpty():
+        return chain_levels(nodes, edges)
     found = settled(nodes.join(edges, "call_id", "left_anti").withColumn("level", F.lit(0)))
     frontier, level = found, 0
     while not frontier.isEmpty():
@@ -67,6 +70,20 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     return nodes.join(found, "call_id", "left")
 
 
+def chain_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels where a call depends on at most one: each round a call's pointer
+    skips as far again, and its level adds what it skipped.  A pointer that is
+    left after as many rounds as the longest chain needs runs in a cycle."""
+    length = F.when(F.col("needs").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    now = settled(nodes.join(edges, "call_id", "left").select("call_id", F.col("needs").alias("to"), length.alias("level")))
+    for _ in range(nodes.count().bit_length() + 1):
+        if now.filter("to IS NOT NULL").isEmpty():
+            break
+        far = now.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("level").alias("more"))
+        now = settled(now.join(far, "to", "left").select("call_id", F.col("next").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+    return now.select("call_id", F.when(F.col("to").isNull(), F.col("level").cast("int")).alias("level"))
+
+
 def link_tool_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
     """``messages``: ``conv_id, turn, role, content, call_id, answers, name,
     arguments, depends_on``; a call has ``call_id``, a result ``answers``.
