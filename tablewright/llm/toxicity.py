@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,12 +132,15 @@ class Words:
         index: dict[str, int] = {}
         self.docs = [np.array([index.setdefault(w, len(index)) for w in t.lower().split()], dtype=np.int64) for t in documents]
         names: dict[str, int] = {}
-        rows = [[names.setdefault(f, len(names)) for f in features(w)] for w in index]
-        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.feature = np.array([f for r in rows for f in r], dtype=np.int64)
+        found, sizes = array("q"), array("q")  # packed: lists of numbers take several times as much
+        for w in index:
+            own = features(w)
+            found.extend(names.setdefault(f, len(names)) for f in own)
+            sizes.append(len(own))
+        self.owner = np.repeat(np.arange(len(sizes)), np.array(sizes, dtype=np.int64))
+        self.feature = np.array(found, dtype=np.int64)
         self.slot = hashed(list(names))
-        self.n_words, self.n_features = len(rows), len(names)
-        self.lists = rows
+        self.n_words, self.n_features = len(sizes), len(names)
 
     def labelled(self, toxic: np.ndarray) -> np.ndarray:
         """Distinct words that count as toxic inside toxic documents."""
