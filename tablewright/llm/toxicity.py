@@ -234,25 +234,37 @@ class Tagger:
         return marginals(odds, lengths, self.field.moves), lengths
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, test: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of the bounded sample, in the order of a hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, test: Column) -> tuple[DataFrame, dict[int, int]]:
+    """``doc_id, text, toxic, h`` of the bounded sample, and the number of
+    labelled documents of each class."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(test).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.withColumn("h", F.xxhash64(F.lit("toxicity"), F.col("doc_id")))
     totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect() if r["toxic"] in (0, 1)}
     picks = marks.filter("toxic = 1").orderBy("h", "doc_id").limit(PER_CLASS).unionByName(marks.filter("toxic = 0").orderBy("h", "doc_id").limit(PER_CLASS))
     chosen = docs.sparkSession.createDataFrame(picks.collect(), "doc_id long, toxic int, h long")
-    found = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("h").alias("h")).collect()
-    rows = sorted(found, key=lambda r: (r["h"], r["doc_id"]))
-    toxic = np.array([int(r["toxic"]) for r in rows], dtype=np.int64)
-    each = np.array([totals.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1)])
-    return [r["text"] for r in rows], toxic, each[toxic] / max(each[toxic].mean(), 1e-9) if len(rows) else np.zeros(0)
+    return texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("h").alias("h")), totals
 
 
 def learn(docs: DataFrame, labels: DataFrame, test: Column) -> Field | None:
     """The field from labelled rows for which ``test`` holds (a condition on
-    ``doc_id``); None where a class is missing."""
-    documents, toxic, weight = labelled_sample(docs, labels, test)
-    return fit_field(documents, toxic, weight) if 0 < toxic.sum() < len(toxic) else None
+    ``doc_id``); None where a class is missing.  One task fits it, so that the
+    driver meets neither texts nor features, but the weights alone."""
+    sample, totals = labelled_sample(docs, labels, test)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((h, doc_id, text, toxic) for b in batches for h, doc_id, text, toxic in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "text", "toxic")), strict=True)), key=lambda r: r[:2])
+        toxic = np.array([int(r[3]) for r in rows], dtype=np.int64)
+        if 0 < toxic.sum() < len(toxic):
+            each = np.array([totals.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1)])
+            field = fit_field([r[2] for r in rows], toxic, each[toxic] / max(each[toxic].mean(), 1e-9))
+            arrays = {"weights": field.weights, "moves": field.moves.ravel(), "scorer": field.scorer}
+            yield pa.RecordBatch.from_pydict({"bias": pa.array([float(field.bias)])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()})
+
+    found = sample.repartition(1).mapInArrow(fit, "bias double, weights binary, moves binary, scorer binary").first()
+    if found is None:
+        return None
+    weights, moves, scorer = (np.frombuffer(found[k]) for k in ("weights", "moves", "scorer"))
+    return Field(weights, found["bias"], moves.reshape(2, 2), scorer)
 
 
 def score(docs: DataFrame, field: Field | None, keep_spans: bool = True) -> DataFrame:
