@@ -4,15 +4,23 @@ A template such as ``SELECT [COLUMN_TEXT_0] FROM W WHERE [COLUMN_NUMBER_1] >
 [NUMBER]`` is parsed on the driver into slots.  For each table, columns of the
 slots' types and a value of the last column named are picked by a seeded hash,
 so a pick is reproducible at any partitioning.  Columns are addressed by index
-and values compared as numbers where the column is one."""
+and values compared as numbers where the column is one; ``populate_all`` also
+executes the SQL."""
 
 from __future__ import annotations
 
 import re
+import sqlite3
+from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
+from itertools import chain, groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.numeric import to_float
 from ..functions.text import column_name
@@ -160,12 +168,93 @@ def having_count(rows: DataFrame, by: str, more_than: int = 2) -> DataFrame:
     return groups.groupBy("table_id").agg(F.array_join(F.array_sort(F.collect_list(by)), " | ").alias("answer"))
 
 
+def said(rows: Iterator[tuple]) -> str | None:
+    """``linearized_answer`` of a cursor's rows, read no further than needed."""
+    items, words = [], 0
+    try:
+        for row in rows:
+            for x in map(str, row):
+                items.append(x)
+                words += len(x.split()) + (len(items) > 1)
+            if words > 200:
+                return None
+    except sqlite3.Error as e:
+        unless_full(e)
+    answer = " | ".join(items)
+    return answer if answer.strip() and answer not in ("0", "None") else None
+
+
+def unless_full(e: sqlite3.Error) -> None:
+    """SQL that fails has no answer; a full or broken disk is no such failure."""
+    if getattr(e, "sqlite_errorname", "").startswith(("SQLITE_FULL", "SQLITE_IOERR", "SQLITE_NOMEM", "SQLITE_CANTOPEN")):
+        raise e
+
+
+def filled(db: sqlite3.Connection, columns: list[tuple[str, str | None]], cells: Iterator[tuple]) -> bool:
+    """Whether ``W`` could be made of cells in order; ``ROWID`` counts from 1."""
+    if any(kind is None for _, kind in columns):
+        return False
+    try:
+        db.execute(f"CREATE TABLE W ( {', '.join(f'{name} {kind.lower()}' for name, kind in columns)} )")
+        db.executemany(f"INSERT INTO W VALUES ({','.join('?' * len(columns))})", ([c[5] for c in row] for _, row in groupby(cells, itemgetter(2))))
+    except sqlite3.Error as e:
+        unless_full(e)
+        return False
+    return True
+
+
+def executed(asked: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+    """``table_id, template, sql, exec``: of each table's SQL (``asked``:
+    ``table_id, template, sql, nth``, tried by ``nth``) the first ``most`` that
+    have an answer which ``linearized_answer`` keeps, with that answer.
+
+    SQLite runs it, as templates may hold whatever it accepts; SQL or tables
+    that it refuses have no answer.  Tables come sorted, and each is streamed
+    into a temporary database that spills to disk, so no table is held in
+    memory."""
+    none = F.lit(0).cast("bigint")
+    kinds = column_types(cells).select("table_id", F.lit(1).alias("kind"), none.alias("a"), F.col("column_index").alias("b"), column_name(F.col("header")).alias("name"), F.col("column_type").alias("text"))
+    sql = asked.select("table_id", F.lit(0).alias("kind"), F.col("nth").alias("a"), F.lit(0).alias("b"), F.col("template").alias("name"), F.col("sql").alias("text"))
+    body = cells.select("table_id", F.lit(2).alias("kind"), F.col("row_index").cast("bigint").alias("a"), F.col("column_index").alias("b"), F.lit(None).cast("string").alias("name"), "text")
+    schema = StructType([cells.schema["table_id"], *(StructField(c, StringType()) for c in ("template", "sql", "exec"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns), strict=True) for batch in batches)
+        for table, of in groupby(rows, itemgetter(0)):
+            tried: list[tuple[str, str]] = []
+            columns: list[tuple[str, str | None]] = []
+            kept = []
+            for kind, part in groupby(of, itemgetter(1)):
+                if kind == 0:
+                    tried = [(r[4], r[5]) for r in part]
+                elif tried and kind == 1:
+                    columns = [(r[4], r[5]) for r in part]
+                elif tried:
+                    with closing(sqlite3.connect("")) as db:
+                        if not filled(db, columns, part):
+                            continue
+                        for template, text in tried:
+                            try:
+                                answer = said(db.execute(text))
+                            except (sqlite3.Error, sqlite3.Warning) as e:
+                                unless_full(e)
+                                continue
+                            if answer is not None:
+                                kept.append((table, template, text, answer))
+                            if len(kept) >= most:
+                                break
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*kept, strict=True)], names=schema.names)
+
+    stream = sql.unionByName(kinds).unionByName(body).repartition("table_id").sortWithinPartitions("table_id", "kind", "a", "b")
+    return stream.mapInArrow(run, schema)
+
+
 def populate_all(cells: DataFrame, templates: list[str], seed: int = 0, config: TableConfig = TableConfig()) -> DataFrame:
-    """``table_id, template, sql``: up to ``sql_populate_size`` templates a
-    table, in seeded order."""
+    """``table_id, template, sql, exec``: in seeded order, up to
+    ``sql_populate_size`` templates a table whose SQL has an answer, and it."""
     made = None
     for i, t in enumerate(templates):
         one = populate(cells, Template(t), seed + 7 * i).select("table_id", F.lit(t).alias("template"), "sql")
         made = one if made is None else made.unionByName(one)
-    order = Window.partitionBy("table_id").orderBy(seeded(seed, "table_id", "template"), "template")
-    return made.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= config.sql_populate_size).drop("nth")
+    return executed(made.withColumn("nth", seeded(seed, "table_id", "template")), cells, config.sql_populate_size)

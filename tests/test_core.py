@@ -123,6 +123,16 @@ def test_templates(spark):
     assert len(asked) == 1 and asked[0]["question"].startswith("What is ")
 
 
+def test_populate_executes(spark):
+    grids = [("t", [["Name", "Points"], ["a", "1"], ["b", "2"], ["b", "30"]]), ("r", [["Name", "Points"], ["a", "1"], ["b"]]), ("order", [["Order", "Points"], ["a", "1"]])]
+    cells = tables.cells_of(spark.createDataFrame(grids, "table_id string, grid array<array<string>>"))
+    empty = ["SELECT [COLUMN_TEXT_0] FROM W GROUP BY [COLUMN_TEXT_0] HAVING COUNT ( [COLUMN_TEXT_0] ) > [NUMBER]", "SELECT COUNT ( * ) FROM W WHERE [COLUMN_NUMBER_0] > 99", "SELECT MAX ( [COLUMN_NUMBER_0] ) FROM W WHERE ID > 9", "SELECT FROM [COLUMN_TEXT_0]"]
+    long = "SELECT " + " , ".join(["[COLUMN_TEXT_0]"] * 90) + " FROM W"
+    good = ["SELECT [COLUMN_NUMBER_0] FROM W ORDER BY [COLUMN_NUMBER_0] DESC LIMIT [LIMIT_VALUE]", "SELECT [COLUMN_TEXT_0] FROM W WHERE ID = 2"]
+    got = templates.populate_all(cells, [*empty, long, *good]).collect()
+    assert {(r["table_id"], r["template"]): r["exec"] for r in got} == {("t", good[0]): "30", ("t", good[1]): "b"}
+
+
 PAGE = """<html><title>T - Wikipedia</title><div id="bodyContent"><h2><span class="mw-headline">A</span></h2><h4><span class="mw-headline">skip</span></h4>
 <h3><span class="mw-headline">B</span></h3><div><table class="wikitable sortable"><caption>C</caption><tr><th colspan="2">x</th><th>y</th></tr>
 <tr><td rowspan="3;">1<sup class="reference">[1]</sup></td><td><span class="flagicon"><a title="Peru"></a></span></td><td><span data-sort-value="5!"></span></td></tr>
