@@ -1,72 +1,99 @@
 """Random queries for all tables, picked by seeded hashes.
 
-Candidates (aggregation, column, optional where) are enumerated as a small
-relation of the table's own columns and values; the first by a hash of seed,
-table and candidate that has an answer is the table's query.  Sampling agrees
-with the original in distribution, not pick by pick."""
+A table's query is drawn as the original draws it: COUNT or a column, one of
+the aggregations that answer for the column, then the first other column of
+which some (value, comparator) leaves an answer, and one of those.  How many
+rows a condition keeps follows from windows over its column, so all values of
+all columns are candidates without being compared with each other.  Sampling
+agrees with the original in distribution, not pick by pick."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import to_float
+from ..functions.numeric import exact_sum, format_number, to_float
 from .algebra import AGGREGATIONS, COMPARED, NUMERIC, SAID
 from .tables import TableConfig
 from .templates import seeded
 
 
-def candidate_conditions(cells: DataFrame, seed: int = 0, each: int = 3) -> DataFrame:
-    """``table_id, w_column, comparator, value``: for each column ``each``
-    picks of (value, comparator)."""
-    values = cells.select("table_id", "column_index", "text").distinct()
-    ways = F.explode(F.array(*map(F.lit, COMPARED)))
-    both = values.select("table_id", F.col("column_index").alias("w_column"), F.col("text").alias("value"), ways.alias("comparator"))
-    order = Window.partitionBy("table_id", "w_column").orderBy(seeded(seed, "table_id", "w_column", "value", "comparator"), "value", "comparator")
-    return both.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each).drop("nth")
+def selections(cells: DataFrame, seed: int = 0, config: TableConfig = TableConfig()) -> DataFrame:
+    """``table_id, aggregation, c, header``: for each table a COUNT with the
+    configured probability, else one of the aggregations that have an answer
+    without a condition, of a random column ``c``."""
+    number = to_float(F.col("text"))
+    columns = cells.groupBy("table_id", "column_index").agg(F.first("header").alias("header"), F.count(F.lit(1)).alias("n"), (F.count(number) == F.count(F.lit(1))).alias("ranks"), F.coalesce(F.bool_or(F.col("text") != ""), F.lit(False)).alias("says"))
 
+    def ok(a: str) -> Column:
+        if a in ("COUNT", "NONE"):
+            return F.lit(True) if a == "COUNT" else F.col("says")
+        return (F.col("n") >= 2) & (F.lit(a not in NUMERIC) | F.col("ranks"))
 
-def surviving_rows(cells: DataFrame, conditions: DataFrame) -> DataFrame:
-    """``table_id, condition, row_index, void`` of the rows that each condition
-    keeps.  Conditions meet rows by table and column: an equi-join."""
-    rows = cells.withColumnRenamed("column_index", "w_column").join(conditions, ["table_id", "w_column"])
-    a, b = to_float(F.col("text")), to_float(F.col("value"))
-    holds = F.when(F.col("comparator") == "=", F.col("text") == F.col("value")).when(F.col("comparator") == ">", a > b).otherwise(a < b)
-    kept = rows.select("table_id", "row_index", F.struct("w_column", "comparator", "value").alias("condition"), holds.alias("holds"))
-    void = F.bool_or(F.col("holds").isNull()).over(Window.partitionBy("table_id", "condition"))
-    return kept.withColumn("void", void).filter("holds AND NOT void").drop("holds", "void")
+    options = F.filter(F.array(*(F.when(ok(a), F.lit(a)) for a in AGGREGATIONS)), lambda a: a.isNotNull())
+    flat = columns.select("table_id", "column_index", "header", F.explode(options).alias("aggregation"))
+    counted = F.pmod(seeded(seed, "table_id"), F.lit(1_000_000)) / 1_000_000 < config.prob_count_aggregation
+    of = lambda c: F.when(F.col("aggregation") != "COUNT", F.col(c))
+    key = F.struct(((F.col("aggregation") == "COUNT") != counted).alias("later"), seeded(seed + 1, "table_id", "column_index").alias("by_column"), "column_index", seeded(seed + 2, "table_id", "column_index", "aggregation").alias("by_aggregation"), "aggregation")
+    return flat.groupBy("table_id").agg(F.min_by(F.struct("aggregation", of("column_index").alias("c"), of("header").alias("header")), key).alias("p")).select("table_id", "p.*")
+
+
+def conditions(cells: DataFrame, picks: DataFrame, seed: int = 0) -> DataFrame:
+    """``table_id, w, w_header, comparator, value``: a condition that leaves the
+    picked selection an answer, for all tables and selections that can have
+    one.  A column is picked among those with such a condition, then a
+    condition uniformly over rows and comparators."""
+    asked = picks.filter(~F.col("aggregation").endswith("_DIFF")).select("table_id", "c", F.col("header").alias("c_header"), F.when(F.col("aggregation").isin("COUNT", "NONE"), 1).otherwise(2).alias("need"))
+    number = to_float(F.col("text"))
+    row, column = Window.partitionBy("table_id", "row_index"), Window.partitionBy("table_id", "column_index")
+    # Only rows with a cell of the selected column count; nothing is greater or less than NaN.
+    counts = F.col("c").isNull() | F.bool_or(F.col("column_index") == F.col("c")).over(row)
+    joined = cells.join(asked, "table_id").withColumn("number", number).withColumn("counts", counts).withColumn("real", F.col("counts") & ~F.isnan("number"))
+    total = F.count_if("real").over(column)
+    sized = joined.withColumns({
+        "comparable": F.count("number").over(column) == F.count(F.lit(1)).over(column),
+        "equal": F.count_if("counts").over(Window.partitionBy("table_id", "column_index", "text")),
+        "greater": total - F.count_if("real").over(column.orderBy("number")),
+        "less": total - F.count_if("real").over(column.orderBy(F.desc("number"))),
+    })
+    ordered = F.col("comparable") & ~F.isnan("number")
+    kept = {"=": F.col("equal"), ">": F.when(ordered, F.col("greater")), "<": F.when(ordered, F.col("less"))}
+    ways = F.filter(F.array(*(F.when(kept[c] >= F.col("need"), F.lit(c)) for c in COMPARED)), lambda c: c.isNotNull())
+    fit = sized.filter((F.col("text") != "") & (F.col("c_header").isNull() | (F.col("header") != F.col("c_header"))))
+    flat = fit.select("table_id", "column_index", "row_index", "header", "text", F.explode(ways).alias("comparator"))
+    key = F.struct(seeded(seed + 3, "table_id", "column_index").alias("by_column"), "column_index", seeded(seed + 4, "table_id", "column_index", "row_index", "comparator").alias("by_condition"), "row_index", "comparator")
+    return flat.groupBy("table_id").agg(F.min_by(F.struct(F.col("column_index").alias("w"), F.col("header").alias("w_header"), "comparator", F.col("text").alias("value")), key).alias("p")).select("table_id", "p.*")
 
 
 def synthesize(cells: DataFrame, seed: int = 0, config: TableConfig = TableConfig()) -> DataFrame:
     """``table_id, question, answer``: one query a table with its answer; a
     COUNT with the configured probability, else an aggregation over a random
-    column, with or without a condition on another column."""
-    conditions = candidate_conditions(cells, seed)
-    everything = cells.select("table_id", "row_index", F.lit(None).cast("struct<w_column:int,comparator:string,value:string>").alias("condition")).distinct()
-    kept = everything.unionByName(surviving_rows(cells, conditions))
-    whole = Window.partitionBy("table_id", "column_index")
-    ranked = cells.withColumn("number", to_float(F.col("text"))).withColumn("ranks", F.count("number").over(whole) == F.count(F.lit(1)).over(whole))
-    joined = kept.join(ranked, ["table_id", "row_index"]).filter("condition IS NULL OR condition.w_column <> column_index")
+    column, with a condition on another column wherever one leaves an answer.
+    Differences take no condition."""
+    picks = selections(cells, seed, config)
+    asked = picks.join(conditions(cells, picks, seed), "table_id", "left")
+    at = lambda i: F.max(F.when(F.col("column_index") == F.col(i), F.col("text")))
+    rows = cells.join(asked.select("table_id", "c", "w", "comparator", "value"), "table_id").groupBy("table_id", "row_index").agg(at("c").alias("text"), F.bool_or((F.col("column_index") == F.col("c")) | F.col("c").isNull()).alias("counts"), at("w").alias("on"), F.first("w").alias("w"), F.first("comparator").alias("comparator"), F.first("value").alias("value"))
+    a, b = to_float(F.col("on")), to_float(F.col("value"))
+    compared = F.when(F.col("comparator") == "=", F.col("on") == F.col("value")).otherwise(~F.isnan(a) & ~F.isnan(b) & F.when(F.col("comparator") == ">", a > b).otherwise(a < b))
+    kept = rows.filter("counts").filter(F.col("w").isNull() | compared).withColumn("number", to_float(F.col("text")))
+    kept = kept.withColumn("step", F.abs(F.col("number") - F.lead("number").over(Window.partitionBy("table_id").orderBy("row_index"))))
     low, high = F.struct("number", "row_index"), F.struct(F.col("number"), (-F.col("row_index")).alias("b"))
-    stats = joined.groupBy("table_id", "condition", "column_index").agg(
-        F.first("header").alias("header"), F.first("ranks").alias("ranks"), F.count(F.lit(1)).alias("n"),
-        F.min_by("text", "row_index").alias("FIRST"), F.max_by("text", "row_index").alias("LAST"),
-        F.min_by("text", low).alias("LOWEST"), F.max_by("text", high).alias("GREATEST"),
-        F.sum("number").alias("s"), F.max("number").alias("hi"), F.min("number").alias("lo"), F.array_sort(F.collect_set("text")).alias("NONE"),
+    stepped = F.when(F.col("step").isNotNull(), F.col("row_index"))
+    stats = kept.groupBy("table_id").agg(
+        F.count(F.lit(1)).cast("double").alias("COUNT"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("text") != "", F.col("text")))), " | ").alias("NONE"),
+        F.min_by("text", "row_index").alias("FIRST"), F.max_by("text", "row_index").alias("LAST"), F.min_by("text", low).alias("LOWEST"), F.max_by("text", high).alias("GREATEST"),
+        exact_sum(F.col("number")).alias("SUM"), (exact_sum(F.col("number")) / F.count("number")).alias("AVERAGE"), (F.max("number") - F.min("number")).alias("RANGE"),
+        F.min_by("step", stepped).alias("FIRST_DIFF"), F.max_by("step", stepped).alias("LAST_DIFF"),
     )
-    number = lambda x: F.format_string("%.2f", x)
-    answers = {"COUNT": F.col("n").cast("string"), "NONE": F.array_join("NONE", " | "), "FIRST": F.col("FIRST"), "LAST": F.col("LAST"), "LOWEST": F.col("LOWEST"), "GREATEST": F.col("GREATEST"), "SUM": number(F.col("s")), "AVERAGE": number(F.col("s") / F.col("n")), "RANGE": number(F.col("hi") - F.col("lo"))}
-    usable = [a for a in AGGREGATIONS if a in answers]
-    options = F.explode(F.array(*(F.struct(F.lit(a).alias("aggregation"), answers[a].alias("answer"), F.lit(SAID[a]).alias("form"), (F.lit(a in ("COUNT", "NONE")) | ((F.col("n") >= 2) & (F.lit(a not in NUMERIC) | F.col("ranks")))).alias("ok")) for a in usable)))
-    flat = stats.select("table_id", "condition", "column_index", "header", options.alias("o")).filter("o.ok AND o.answer <> ''").select("table_id", "condition", "column_index", "header", "o.*")
-    share = F.pmod(seeded(seed, "table_id"), F.lit(1_000_000)) / 1_000_000 < config.prob_count_aggregation
-    order = Window.partitionBy("table_id").orderBy(((F.col("aggregation") == "COUNT") == share).desc(), seeded(seed, "table_id", "column_index", "aggregation", "condition.w_column", "condition.comparator", "condition.value"))
-    names = cells.select("table_id", F.col("column_index").alias("w"), F.col("header").alias("w_header")).distinct()
-    top = flat.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
-    said = top.join(names, (top["table_id"] == names["table_id"]) & (F.col("condition.w_column") == F.col("w")), "left").drop(names["table_id"])
-    how = F.when(F.col("condition.comparator") == "=", "is").when(F.col("condition.comparator") == "<", "is less than").otherwise("is greater than")
-    where = F.when(F.col("condition").isNotNull(), F.concat_ws(" ", F.lit(" when"), "w_header", how, "condition.value")).otherwise("")
-    return said.select("table_id", F.concat(F.lit("What is "), F.replace("form", F.lit("{}"), F.col("header")), where).alias("question"), "answer")
+    told = asked.join(stats, "table_id")
+    numbers = [x for x in AGGREGATIONS if dict(stats.dtypes)[x] == "double"]
+    pick = lambda names: F.coalesce(*(F.when(F.col("aggregation") == x, F.col(x)) for x in names))
+    answer = F.when(F.col("aggregation").isin(numbers), F.coalesce(format_number(pick(numbers)), F.lit("nan"))).otherwise(pick([x for x in AGGREGATIONS if x not in numbers]))
+    form = F.coalesce(*(F.when(F.col("aggregation") == x, F.lit(SAID[x])) for x in AGGREGATIONS))
+    how = F.coalesce(*(F.when(F.col("comparator") == x, F.lit(COMPARED[x])) for x in COMPARED))
+    where = F.when(F.col("w").isNotNull(), F.concat_ws(" ", F.lit(" when"), "w_header", how, "value")).otherwise("")
+    return told.select("table_id", F.concat(F.lit("What is "), F.replace(form, F.lit("{}"), F.coalesce("header", F.lit(""))), where).alias("question"), answer.alias("answer"))
 
 
 def retrieval_queries(cells: DataFrame, row_texts: DataFrame, seed: int = 0, config: TableConfig = TableConfig()) -> DataFrame:

@@ -133,6 +133,28 @@ def test_populate_executes(spark):
     assert {(r["table_id"], r["template"]): r["exec"] for r in got} == {("t", good[0]): "30", ("t", good[1]): "b"}
 
 
+def test_synthesis_tries_all(spark):
+    # "a" repeats only once among many other texts, so few conditions leave two rows
+    tall = [["k", "v"], ["a", "7"], *([f"x{i}", str(i)] for i in range(40)), ["a", "9"]]
+    flat = [["k", "v"], ["p", "4"], ["q", "4"], ["r", "4"]]
+    grids = [(f"{name}{i}", g) for name, g in (("tall", tall), ("flat", flat)) for i in range(60)]
+    cells = tables.cells_of(spark.createDataFrame(grids, "table_id string, grid array<array<string>>"))
+    asked = {r["table_id"]: (r["question"], r["answer"]) for r in synthesis.synthesize(cells).collect()}
+    assert len(asked) == len(grids)
+    said = {q.removeprefix("What is ") for q, _ in asked.values()}
+    firsts = {(q, a) for t, (q, a) in asked.items() if t.startswith("tall") and "difference of v for first" in q}
+    assert firsts == {("What is the difference of v for first two", "7")}
+    assert ("What is the difference of v for last two", "30") in asked.values()
+    assert not any("difference" in q and " when " in q for q in said)
+    for t, (q, _) in asked.items():
+        if "difference" not in q and t.startswith("tall"):
+            assert " when " in q  # some condition always leaves enough rows
+    # no condition on k leaves two rows of v, some on v leave two of k
+    assert {q for t, (q, _) in asked.items() if t.startswith("flat") and "total v" in q} == {"What is the total v"}
+    assert all(q.endswith("when v is 4") for t, (q, _) in asked.items() if t.startswith("flat") and ("first k" in q or "last k" in q))
+    assert [a for t, (q, a) in asked.items() if t.startswith("tall") and q == "What is the total v when k is a"] in ([], ["16"], ["16"] * 2, ["16"] * 3, ["16"] * 4, ["16"] * 5)
+
+
 PAGE = """<html><title>T - Wikipedia</title><div id="bodyContent"><h2><span class="mw-headline">A</span></h2><h4><span class="mw-headline">skip</span></h4>
 <h3><span class="mw-headline">B</span></h3><div><table class="wikitable sortable"><caption>C</caption><tr><th colspan="2">x</th><th>y</th></tr>
 <tr><td rowspan="3;">1<sup class="reference">[1]</sup></td><td><span class="flagicon"><a title="Peru"></a></span></td><td><span data-sort-value="5!"></span></td></tr>
