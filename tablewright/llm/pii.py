@@ -12,7 +12,11 @@ No shuffle: one narrow stage over whole texts.
 
 Kinds, in this order: ``email``, ``ip`` (parts at most 255), ``card`` (16 to 19
 digits, Luhn), ``phone`` (8 to 15 digits) and, added by this method, ``iban``
-(mod 97).  Spans of different kinds may overlap; all are reported.
+(mod 97).  An IBAN has its country's length, so words after it don't matter;
+codes of no listed country take the longest run that fits.  Proposals of IBANs
+begin at every word, as a failed one may hold the next one's start; of confirmed
+ones that overlap the first stays.  Spans of different kinds may overlap; all
+are reported.
 
 Defined cases: null and empty texts have no spans; texts of any length are
 searched whole (offsets are summed in blocks, so thousands of matches stay
@@ -35,6 +39,27 @@ CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.25
 
 
+#: Lengths of IBANs: the registry of ISO 13616, then countries that use them unregistered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+UNREGISTERED = {24: "CV DZ", 25: "AO GW MZ", 26: "IR", 27: "CF CG CM GA GQ KM MG TD", 28: "BF BJ CI MA ML NE SN TG"}
+
+
+def iban_pattern() -> str:
+    """The whole proposal is the first group; four characters are consumed."""
+    group, known = r"(?:\x20?[A-Z0-9])", []
+    ways = []
+    for lengths in (IBAN_LENGTHS, UNREGISTERED):
+        for n, codes in lengths.items():
+            known += codes.split()
+            ways.append(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}{group}{{{n - 4}}}")
+    ways.append(f"(?!{'|'.join(known)})[A-Z]{{2}}[0-9]{{2}}{group}{{11,30}}")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join(ways)})(?![A-Za-z0-9])))[A-Z0-9]{{4}}"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -43,6 +68,8 @@ class Kind:
     needs: str | None
     score: float
     words: tuple[str, ...]
+    #: Where matches are proposals by lookahead, in the first group: how much is consumed.
+    consumed: int | None = None
 
 
 KINDS = (
@@ -50,7 +77,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.5, ("ip", "host", "server", "address", "login")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.6, ("card", "visa", "credit", "payment", "account")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.5, ("phone", "call", "tel", "mobile", "fax")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, 0.7, ("iban", "bank", "account", "transfer")),
+    Kind("iban", iban_pattern(), None, 0.7, ("iban", "bank", "account", "transfer"), 4),
 )
 BASE = ("email", "ip", "card", "phone")
 NAMES = tuple(k.name for k in KINDS)
@@ -104,19 +131,29 @@ def running_sums(lengths: str) -> Column:
     return F.expr(f"flatten(aggregate({blocks}, named_struct('t', cast(0 as bigint), 'o', cast(array() as array<array<bigint>>)), (a, b) -> {step}, a -> a.o))")
 
 
+def consumed(k: Kind, m: Column) -> Column:
+    return (F.length(m) if k.consumed is None else F.lit(k.consumed)).cast("bigint")
+
+
+def apart(spans: Column) -> Column:
+    """Of spans by start those that begin after the last one kept."""
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    return F.aggregate(spans, none, lambda a, x: F.when((F.size(a) == 0) | (F.try_element_at(a, F.lit(-1))["end"] <= x["start"]), F.array_append(a, x)).otherwise(a))
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and ``spans``: an array of kind, start, end, score by
     kind and start."""
     none = F.expr("cast(array() as array<string>)")
     matched = texts(docs)
     for k in KINDS:
-        m = F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))
+        m = F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0 if k.consumed is None else 1))
         matched = matched.withColumn(f"m_{k.name}", F.when(F.contains("text", F.lit(k.needs)), m).otherwise(none) if k.needs else m)
     # Only texts with a match that a checksum may confirm are cut at it.
     cut = matched
     for k in KINDS:
         gaps = F.transform(F.split("text", k.pattern, -1), lambda g: F.length(g).cast("bigint"))
-        steps = F.zip_with(gaps, F.transform(f"m_{k.name}", lambda m: F.length(m).cast("bigint")), lambda g, n: g + F.coalesce(n, F.lit(0)))
+        steps = F.zip_with(gaps, F.transform(f"m_{k.name}", partial(consumed, k)), lambda g, n: g + F.coalesce(n, F.lit(0)))
         cut = cut.withColumn(f"s_{k.name}", F.when(F.exists(f"m_{k.name}", partial(confirmed, k.name)), steps))
     summed = cut
     for k in KINDS:
@@ -127,12 +164,14 @@ def found_spans(docs: DataFrame) -> DataFrame:
         good = F.filter(ends, lambda x: confirmed(k.name, x["m"]))
 
         def scored(x: Column) -> Column:
-            start = x["e"] - F.length(x["m"])
+            start = x["e"] - consumed(k, x["m"])
+            end = start + F.length(x["m"])
             near = F.lower(F.expr("text").substr(F.greatest(start - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.length(x["m"]) + 2 * CONTEXT_CHARS))
             bonus = F.when(near.rlike(r"\b(?:" + "|".join(k.words) + ")"), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
-            return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), x["e"].alias("end"), (F.lit(k.score) + bonus).alias("score"))
+            return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), end.alias("end"), (F.lit(k.score) + bonus).alias("score"))
 
-        return F.when(F.col(f"e_{k.name}").isNotNull(), F.transform(good, scored)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+        made = F.transform(good, scored)
+        return F.when(F.col(f"e_{k.name}").isNotNull(), made if k.consumed is None else apart(made)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
     return summed.select("doc_id", "text", F.concat(*(spans(k) for k in KINDS)).alias("spans"))
 

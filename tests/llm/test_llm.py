@@ -124,6 +124,21 @@ def test_pii(spark, odd, empty):
     assert out[1]["text"] == "mail [EMAIL] now" and out[2]["text"] is None and out[3]["text"] == "x" and list(out[1].asDict()) == [c.split()[0] for c in EXTRA.split(", ")]
 
 
+def test_iban_among_words(spark):
+    good = {"GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "FR14 2004 1010 0505 0001 3M02 606"}
+    rows, want = [], {}
+    for i in good:
+        for before, after in (("", " BIC NWBKGB2L"), ("IBAN ", " EUR 50"), ("REF NO12 3456 789 ", " 2024"), ("AB12 CD34 ", " AND DE89 3704 0044 0532 0130 00"), ("é🎉 ", "."), ("(", ") Bic")):
+            rows.append((len(rows), before + i + after))
+            want[len(rows) - 1] = [i] + ["DE89 3704 0044 0532 0130 00"] * ("DE89" in after)
+    rows += [(900, "GB82WEST123456987654321 X"), (901, "xGB82WEST12345698765432"), (902, "GB82WEST12345698765433 EUR"), (903, "GB82 WEST 1234 5698 7654 32 " * 1500)]
+    want |= {900: [], 901: [], 902: [], 903: ["GB82 WEST 1234 5698 7654 32"] * 1500}
+    texts = dict(rows)
+    found = pii.personal_data(table(spark, rows)).collect()
+    assert {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in found} == want
+    assert pii.redacted(table(spark, [(1, "to GB82WEST12345698765432 BIC NWBKGB2L")])).first()["text"] == "to [IBAN] BIC NWBKGB2L"
+
+
 def test_media(spark, odd, empty):
     rows = media.media_columns(odd).collect()
     texts = {i: (t or "").encode() for i, t in ODD}
