@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablewright.llm import exact_dedup, jaccard_join, packing, pii, toxicity
 from tablewright.llm.common import documents, ensure_checkpoint_dir
@@ -19,10 +18,9 @@ from tablewright.llm.queries import remainder, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go."""
+    """Rows whose text the toxicity operator rejects go."""
     field = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
-    rejected = toxicity.score(docs, field, keep_spans=False).filter("predicted = 1").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    return toxicity.without_toxic(docs, field)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,30 @@ def learn(docs: DataFrame, labels: DataFrame, test: Column) -> Field | None:
     return Field(weights, found["bias"], moves.reshape(2, 2), scorer)
 
 
+def tagged(tagger: Tagger | None, field: Field | None, documents: list[str]) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Words' probabilities and documents' lengths and scores."""
+    if tagger and field:
+        p, lengths = tagger.tag(documents)
+        return p, lengths, sigmoid(summary(p, lengths) @ field.scorer)
+    lengths = np.array([len(t.lower().split()) for t in documents])
+    return np.zeros(int(lengths.sum())), lengths, np.zeros(len(documents))
+
+
+def without_toxic(docs: DataFrame, field: Field | None) -> DataFrame:
+    """The rows of ``docs`` that ``score`` doesn't predict as toxic, each judged
+    by its own text, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = shared.value
+        tagger = Tagger(field) if field else None
+        for batch in slices(batches, most=SLICE_BYTES):
+            _, _, scores = tagged(tagger, field, [t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, field: Field | None, keep_spans: bool = True) -> DataFrame:
     """``doc_id, score, predicted, n_toxic_words`` for each document, and with
     ``keep_spans`` the toxic words' character offsets."""
@@ -277,12 +301,7 @@ def score(docs: DataFrame, field: Field | None, keep_spans: bool = True) -> Data
         tagger = Tagger(field) if field else None
         for batch in slices(batches, most=SLICE_BYTES):
             documents = batch.column("text").to_pylist()
-            if tagger:
-                p, lengths = tagger.tag(documents)
-                scores = sigmoid(summary(p, lengths) @ field.scorer)
-            else:
-                lengths = np.array([len(t.lower().split()) for t in documents])
-                p, scores = np.zeros(int(lengths.sum())), np.zeros(len(documents))
+            p, lengths, scores = tagged(tagger, field, documents)
             ends = np.cumsum(lengths)
             hits = p >= SPAN_FROM
             before = np.concatenate([[0], np.cumsum(hits)])

@@ -325,6 +325,23 @@ def test_chat(spark):
     assert chat.link_tool_calls(m.limit(0), {}).count() == 0
 
 
+def test_drop_toxic_by_row(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    field = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"), queries.remainder(5) != 0)
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, field, keep_spans=False).collect()}
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    toxic = [rows[i] for i in sorted(scored) if scored[i]][-1]
+    clean = [rows[i] for i in sorted(scored) if not scored[i]][-1]
+    made = [r.asDict() | {"doc_id": i} for r in (toxic, clean) for i in (None, 10**9)] + [clean.asDict() | {"doc_id": None, "text": None}]
+    more = docs.unionByName(spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in made], docs.schema))
+    kept = p.drop_toxic(spark, more, sf).collect()
+    want = [tuple(r) for i, r in rows.items() if not scored[i]] + [tuple(r[c] for c in docs.columns) for r in made[2:]]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 def test_pipeline(spark):
     """Stages against brute force, each on its own input."""
     import corpus_pipeline as p
