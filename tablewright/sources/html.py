@@ -187,7 +187,7 @@ def strict_span_of(cell: Node, key: str) -> int:
     return int(value) if re.fullmatch(r"\s*[+-]?[0-9]+\s*", value) else 1
 
 
-#: No table is wider or taller than this; spans beyond are cut.
+#: No table is wider than this; column spans beyond are cut. Row spans end with the rows.
 WIDEST = 2000
 
 
@@ -219,7 +219,7 @@ def expanded(rows: list[list[Node]], deep: bool = True) -> list[list[str]]:
                 continue
             done.append(cell[0])
             if cell[1] > 1:
-                open_[column] = cell[0], min(cell[1], WIDEST) - 1
+                open_[column] = cell[0], cell[1] - 1
         out.append(done)
     return out
 

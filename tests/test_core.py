@@ -175,6 +175,12 @@ def test_html(spark):
     assert pages.index_documents(pages.page_sentences(p)).filter("id = 'T-0-0-1'").first()["contents"] == "T. Two is here."
 
 
+def test_tall_row_span():
+    rows = "".join(f"<tr><td>{i}</td></tr>" for i in range(1, 2500))
+    (t,) = html.tables_of(f'<table class="wikitable"><tr><th>a</th><th>b</th></tr><tr><td rowspan="2500">x</td><td>0</td></tr>{rows}</table>')
+    assert t["grid"] == [["a", "b"], *(["x", str(i)] for i in range(2500))]
+
+
 def test_fetch(spark):
     seen = spark.createDataFrame([("ok",), ("gone",), ("busy",), ("odd",)], "url string")
     got = pages.fetched(seen, lambda u: {"ok": (200, "x"), "gone": (404, ""), "busy": (429, ""), "odd": (500, "")}[u], wait=0)
