@@ -342,6 +342,18 @@ def test_drop_toxic_by_row(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
 
 
+def test_library_encoder_agrees():
+    from tokenizers import Tokenizer
+
+    coder, t = packing.library_encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(11)
+    parts = ["é", "🎉", "<|endoftext|>", "don't", "  ", "\n", "\r\n\t", "\u00a0", "\u3000", "१२", "ﬁ", "e\u0301", "中文", "A", "word", " 1234567", "'ll", "...", "\x00", "\u200d"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    long = ["word " * 20000, "a" * 5000, " " * 5000, "\n" * 5000, "é🎉" * 3000]
+    for text in [x or "" for _, x in ODD] + odd + long:
+        assert coder.encode_to_numpy(text, allowed_special="all").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_pipeline(spark):
     """Stages against brute force, each on its own input."""
     import corpus_pipeline as p
