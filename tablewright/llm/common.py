@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, taken from
-    ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine)
-    a temporary folder is made."""
+    ``spark.checkpoint.dir``.  Only where that is unset and one machine runs
+    all (tests) a temporary folder is made; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tablewright-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -40,7 +43,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that each slice has at most ``most`` bytes of
     ``column``, or one row.  This bounds a task's memory where texts are long."""
     for batch in batches:

@@ -4,35 +4,38 @@ Two states (clean, toxic) chain over a text's words; a word's features are its
 core, prefixes and suffix, hashed.  Documents carry labels, words don't, so
 training words are labelled first: a word of a toxic document is toxic if one
 of its features occurs nearly only in toxic training documents (``PURITY``),
-and so often that chance doesn't explain it (``DEVIATIONS`` above the mean).  The field is fitted to these labels by gradient
-ascent on its likelihood; forward-backward marginals then tag every word of
-every document, and the document's score is a logistic function of the
-marginals' sum, maximum and rate, fitted on documents that the field has not
-seen.
+and so often that chance doesn't explain it (``DEVIATIONS`` above the mean).
+Words' weights, bias and the potentials between states are fitted to these
+labels by gradient ascent on the likelihood of whole documents: observed minus
+expected counts of words and of pairs of states.  Forward-backward marginals
+then tag every word of every document, and the document's score is a logistic
+function of the marginals' sum, maximum and rate, fitted on documents that the
+field has not seen.
 
 The model is fitted on a bounded sample: at most ``PER_CLASS`` labelled
-documents of each class, those with the smallest hash; the scorer weighs the
-classes by their counts over all labelled rows.  It is sent to the tasks
-as one array of 2^``BITS`` weights.  Scoring is one narrow stage over whole
-texts; memory follows ``SLICE_BYTES`` or the longest text.
+documents of each class, those with the smallest hash, whole; the scorer weighs
+the classes by their counts over all labelled rows.  The bound is one of rows:
+the one task that fits holds their words as 32-bit numbers.  The model is sent
+to the tasks as one array of 2^``BITS`` weights.  Scoring is one narrow stage
+over whole texts; memory follows ``SLICE_BYTES`` or the longest text.
 
 Defined cases: null and empty texts score as documents without a toxic word;
-repeated rows give repeated results; several labels of one document count as
-toxic if one does; without labels of both classes everything scores 0; other
-columns are ignored; an empty table gives an empty result.
+repeated rows give repeated results; a null ``doc_id`` is scored like any other
+and matches no label; several labels of one document count as toxic if one
+does, several texts of one labelled ``doc_id`` teach by the smallest; without
+labels of both classes everything scores 0; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +45,55 @@ PER_CLASS = 2000
 BITS = 18
 PURITY = 0.93
 DEVIATIONS = 5.0
-SLICE_BYTES = 16 << 20
-TRAIN_WORDS = 64
+SLICE_BYTES = 2 << 20
 ROUNDS = 40
 SPAN_FROM = 0.5
-REMEMBERED = 700_000
-WORD = regex.compile(r"\S+")
-EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+PREFIXES, SUFFIX = (3, 4, 5, 6), 3
 
 
-def features(word: str) -> list[str]:
-    core = word if word[0].isalnum() and word[-1].isalnum() else EDGE.sub("", word)
-    if not core:
-        return ["="]
-    return [f"={core}", *(f"{core[:k]}*" for k in (3, 4, 5, 6) if len(core) > k), *(f"*{core[-k:]}" for k in (3,) if len(core) > k)]
+def powers(n: int = 1024, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, base, np.uint64))
 
 
-def hashed(names: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(f.encode()) & (1 << BITS) - 1 for f in names], dtype=np.int64)
+POWERS = powers()
+
+
+def hashes(strings: pa.Array, seed: int) -> np.ndarray:
+    """64-bit hashes of strings, from their bytes and places."""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(strings) else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * POWERS[place & (len(POWERS) - 1)])])
+    h = total[ends[1:]] - total[ends[:-1]] + POWERS[seed]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed features of words, and the words that have them."""
+    core = pc.replace_substring_regex(pc.utf8_lower(words), EDGE, "")
+    length = pc.utf8_length(core).to_numpy(zero_copy_only=False)
+    owners, found = [np.arange(len(words))], [hashes(core, 0)]
+    for seed, k, cut in [*((k, k, (0, k)) for k in PREFIXES), (9, SUFFIX, (-SUFFIX, None))]:
+        own = np.flatnonzero(length > k)
+        owners.append(own)
+        found.append(hashes(pc.utf8_slice_codeunits(core.take(pa.array(own)), *cut), seed))
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def words_of(documents: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the documents' words end to end as places among them,
+    and the numbers of words."""
+    lists = pc.utf8_split_whitespace(documents)
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.not_equal(words, "")
+    words, owner = words.filter(full).dictionary_encode(), owner.filter(full)
+    lengths = np.bincount(owner.to_numpy(zero_copy_only=False).astype(np.int64), minlength=len(documents))
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False), lengths
 
 
 @dataclass(frozen=True)
@@ -73,42 +107,80 @@ class Field:
     scorer: np.ndarray
 
 
+def both_ways(odds: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The toxic state's share in each word's forward and backward vector.
+
+    ``odds``: each word's potential for toxic over clean, documents end to end,
+    beginning at ``starts``.  A document's first word forgets what came before,
+    so all documents are one chain.  It is cut into about sqrt(n) blocks that
+    run side by side: first each block's product of transfer matrices, then the
+    blocks' border vectors, then the words inside."""
+    n = len(odds)
+    block = max(1, math.ceil(math.sqrt(n)))
+    count = -(-n // block)
+
+    def grid(values: np.ndarray, rest: float) -> np.ndarray:
+        return np.ascontiguousarray(np.concatenate([values, np.full(block * count - n, rest)]).reshape(count, block).T)
+
+    first = np.zeros(n, bool)
+    first[starts] = True
+    a00, a10 = grid(np.where(first, 1.0, moves[0, 0]), 1.0), grid(np.where(first, 1.0, moves[1, 0]), 0.0)
+    a01, a11 = grid(np.where(first, 1.0, moves[0, 1]) * odds, 0.0), grid(np.where(first, 1.0, moves[1, 1]) * odds, 1.0)
+    p00, p01, p10, p11 = np.ones(count), np.zeros(count), np.zeros(count), np.ones(count)
+    for t in range(block):
+        p00, p01 = p00 * a00[t] + p01 * a10[t], p00 * a01[t] + p01 * a11[t]
+        p10, p11 = p10 * a00[t] + p11 * a10[t], p10 * a01[t] + p11 * a11[t]
+        total = p00 + p01 + p10 + p11
+        p00, p01, p10, p11 = p00 / total, p01 / total, p10 / total, p11 / total
+    products = list(zip(p00.tolist(), p01.tolist(), p10.tolist(), p11.tolist(), strict=True))
+    before, after = np.empty(count), np.empty(count)
+    share = 0.5
+    for k, (w00, w01, w10, w11) in enumerate(products):
+        before[k] = share
+        one, zero = (1 - share) * w01 + share * w11, (1 - share) * w00 + share * w10
+        share = one / (one + zero)
+    share = 0.5
+    for k in range(count - 1, -1, -1):
+        after[k] = share
+        w00, w01, w10, w11 = products[k]
+        one, zero = w10 * (1 - share) + w11 * share, w00 * (1 - share) + w01 * share
+        share = one / (one + zero)
+    forward, backward = np.empty((block, count)), np.empty((block, count))
+    q = before
+    for t in range(block):
+        one = (1 - q) * a01[t] + q * a11[t]
+        q = one / (one + (1 - q) * a00[t] + q * a10[t])
+        forward[t] = q
+    q = after
+    for t in range(block - 1, -1, -1):
+        backward[t] = q
+        one = a10[t] * (1 - q) + a11[t] * q
+        q = one / (one + a00[t] * (1 - q) + a01[t] * q)
+    return forward.T.ravel()[:n], backward.T.ravel()[:n]
+
+
+def starts_of(lengths: np.ndarray) -> np.ndarray:
+    return (np.cumsum(lengths) - lengths)[lengths > 0]
+
+
+def joined(f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    hit = f * b
+    return hit / (hit + (1 - f) * (1 - b))
+
+
 def marginals(odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """P(toxic) of each word by forward-backward.  ``odds``: each word's
-    potential for toxic over clean, documents end to end; sequences run side by
-    side, longest first, so step t touches those that still have a word."""
-    order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
-    live = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
-    forward = np.empty(len(odds))
-    (m00, m01), (m10, m11) = moves
-    p = np.full(len(sizes), 0.5)
-    for t, k in enumerate(live.tolist()):
-        at = starts[:k] + t
-        q = p[:k]
-        if t:
-            one = (q * (m11 - m01) + m01) * odds[at]
-            zero = q * (m10 - m00) + m00
-        else:
-            one, zero = odds[at], 1.0
-        p[:k] = one / (one + zero)
-        forward[at] = p[:k]
-    out = np.empty(len(odds))
-    b = np.full(len(sizes), 0.5)  # share of the toxic state in what follows
-    for t in range(len(live) - 1, -1, -1):
-        k = int(live[t])
-        at = starts[:k] + t
-        more = int(live[t + 1]) if t + 1 < len(live) else 0
-        if more:
-            nxt = starts[:more] + t + 1
-            one, zero = b[:more] * odds[nxt], 1 - b[:more]
-            to1, to0 = m10 * zero + m11 * one, m00 * zero + m01 * one
-            b[:more] = to1 / (to1 + to0)
-        a = forward[at]
-        hit = a * b[:k]
-        out[at] = hit / (hit + (1 - a) * (1 - b[:k]))
-    return out
+    """P(toxic) of each word by forward-backward."""
+    return joined(*both_ways(odds, starts_of(lengths), moves)) if len(odds) else np.zeros(0)
+
+
+def pair_counts(odds: np.ndarray, starts: np.ndarray, moves: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Expected numbers of pairs of states [from][to] inside documents."""
+    inside = np.ones(len(odds), bool)
+    inside[starts] = False
+    at = np.flatnonzero(inside)
+    head, tail, o = f[at - 1], b[at], odds[at]
+    each = np.stack([(1 - head) * moves[0, 0] * (1 - tail), (1 - head) * moves[0, 1] * o * tail, head * moves[1, 0] * (1 - tail), head * moves[1, 1] * o * tail])
+    return (each / each.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
 def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -128,27 +200,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Words:
     """Distinct words of the training texts and their features."""
 
-    def __init__(self, documents: list[str]):
-        index: dict[str, int] = {}
-        self.docs = [np.array([index.setdefault(w, len(index)) for w in t.lower().split()], dtype=np.int64) for t in documents]
-        names: dict[str, int] = {}
-        found, sizes = array("q"), array("q")  # packed: lists of numbers take several times as much
-        for w in index:
-            own = features(w)
-            found.extend(names.setdefault(f, len(names)) for f in own)
-            sizes.append(len(own))
-        self.owner = np.repeat(np.arange(len(sizes)), np.array(sizes, dtype=np.int64))
-        self.feature = np.array(found, dtype=np.int64)
-        self.slot = hashed(list(names))
-        self.n_words, self.n_features = len(sizes), len(names)
+    def __init__(self, documents: pa.Array):
+        words, self.flat, self.lengths = words_of(documents)
+        owner, found = features(words)
+        order = np.argsort(owner, kind="stable")
+        self.owner = owner[order]
+        names, self.feature = np.unique(found[order], return_inverse=True)
+        self.slot = (names & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        self.n_words, self.n_features = len(words), len(names)
 
     def labelled(self, toxic: np.ndarray) -> np.ndarray:
         """Distinct words that count as toxic inside toxic documents."""
         n = np.zeros((2, self.n_features))
-        per_word = np.split(self.feature, np.searchsorted(self.owner, np.arange(1, self.n_words)))
-        for words, y in zip(self.docs, toxic, strict=True):
-            if len(words):
-                n[y, np.unique(np.concatenate([per_word[w] for w in np.unique(words)]))] += 1
+        first = np.searchsorted(self.owner, np.arange(self.n_words + 1))
+        for end, size, y in zip(np.cumsum(self.lengths), self.lengths, toxic, strict=True):
+            own = np.unique(self.flat[end - size : end])
+            many = first[own + 1] - first[own]
+            at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            n[y, np.unique(self.feature[at])] += 1
         share = n[1] / max(toxic.sum(), 1), n[0] / max((1 - toxic).sum(), 1)
         q = toxic.mean()
         above = (n[1] - q * n.sum(axis=0)) / np.sqrt(np.maximum(n.sum(axis=0), 1) * q * (1 - q))
@@ -158,47 +227,52 @@ class Words:
         return out
 
 
-def fit_field(documents: list[str], toxic: np.ndarray, weight: np.ndarray) -> Field:
+class Ascent:
+    """Adam's steps."""
+
+    def __init__(self, shape: tuple[int, ...], rate: float):
+        self.rate, self.step = rate, 0
+        self.first, self.second = np.zeros(shape), np.zeros(shape)
+
+    def by(self, slope: np.ndarray) -> np.ndarray:
+        self.step += 1
+        self.first = 0.9 * self.first + 0.1 * slope
+        self.second = 0.99 * self.second + 0.01 * slope**2
+        return self.rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-6)
+
+
+def fit_field(documents: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Field:
     """The field fitted on the first two thirds, the scorer on the rest."""
     train = np.arange(len(documents)) % 3 != 2
-    words = Words([t for t, k in zip(documents, train, strict=True) if k])
+    words = Words(documents.filter(pa.array(train)))
     y = toxic[train]
-    bad = words.labelled(y)
-    chains, marks = [], []
-    for w, label in zip(words.docs, y, strict=True):
-        for i in range(0, len(w), TRAIN_WORDS):
-            chains.append(w[i : i + TRAIN_WORDS])
-            marks.append(bad[chains[-1]] if label else np.zeros(len(chains[-1]), dtype=bool))
-    lengths = np.array([len(c) for c in chains], dtype=np.int64)
-    flat = np.concatenate(chains) if chains else np.zeros(0, np.int64)
-    truth = np.concatenate(marks).astype(float) if marks else np.zeros(0)
-    weights, bias, moves = np.zeros(1 << BITS), -3.0, np.log(np.array([[0.98, 0.02], [0.6, 0.4]]))
+    starts = starts_of(words.lengths)
+    truth = (words.labelled(y)[words.flat] & (np.repeat(y, words.lengths) == 1)).astype(float)
+    seen_words = np.bincount(words.flat, truth, words.n_words)
+    inside = np.ones(len(truth), bool)
+    inside[starts] = False
+    at = np.flatnonzero(inside)
+    seen_pairs = np.bincount((2 * truth[at - 1] + truth[at]).astype(np.int64), minlength=4).reshape(2, 2)
     slot = words.slot[words.feature]
-    inside = np.ones(len(flat), dtype=bool)
-    inside[np.cumsum(lengths)[:-1]] = False
-    # Observed moves; the expected ones come from adjacent marginals below.
-    seen = np.zeros((2, 2))
-    pair = np.flatnonzero(inside[1:]) + 1
-    np.add.at(seen, (truth[pair - 1].astype(int), truth[pair].astype(int)), 1)
-    moves = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True))
-    seen_words = np.bincount(flat, truth, words.n_words)
-    first, second = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    b1 = b2 = 0.0
-    for step in range(1, ROUNDS + 1):
-        score = np.bincount(words.owner, weights[slot], words.n_words) + bias
-        p = marginals(np.exp(np.clip(score, -15, 15))[flat], lengths, np.exp(moves))
-        gap = seen_words - np.bincount(flat, p, words.n_words)
-        slope = np.bincount(slot, gap[words.owner], 1 << BITS) - 0.05 * weights
-        lean = float(gap.sum())
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        b1, b2 = 0.9 * b1 + 0.1 * lean, 0.99 * b2 + 0.01 * lean**2
-        fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
-        weights = weights + 0.2 * (first / fix1) / (np.sqrt(second / fix2) + 1e-6)
-        bias += 0.1 * (b1 / fix1) / (np.sqrt(b2 / fix2) + 1e-6)
-    field = Field(weights, bias, np.exp(moves), np.zeros(4))
-    rest = [t for t, k in zip(documents, train, strict=True) if not k]
-    x = summary(*Tagger(field).tag(rest)[:2]) if rest else np.zeros((0, 4))
-    return Field(weights, bias, np.exp(moves), logistic(x, toxic[~train], weight[~train]))
+    weights, bias = np.zeros(1 << BITS), np.full(1, -3.0)
+    potentials = np.log((seen_pairs + 1) / (seen_pairs + 1).sum(axis=1, keepdims=True))
+    for_weights, for_bias, for_pairs = Ascent(weights.shape, 0.2), Ascent((1,), 0.1), Ascent((2, 2), 0.05)
+    for _ in range(ROUNDS):
+        odds = np.exp(np.clip(np.bincount(words.owner, weights[slot], words.n_words) + bias, -15, 15))[words.flat]
+        moves = np.exp(potentials)
+        f, b = both_ways(odds, starts, moves) if len(odds) else (odds, odds)
+        gap = seen_words - np.bincount(words.flat, joined(f, b), words.n_words)
+        pairs = pair_counts(odds, starts, moves, f, b)
+        weights = weights + for_weights.by(np.bincount(slot, gap[words.owner], 1 << BITS) - 0.05 * weights)
+        bias = bias + for_bias.by(gap.sum(keepdims=True))
+        potentials = potentials + for_pairs.by(seen_pairs - pairs - 0.05 * potentials)
+    field = Field(weights, float(bias[0]), np.exp(potentials), np.zeros(4))
+    rest = documents.filter(pa.array(~train))
+    x = np.zeros((0, 4))
+    if len(rest):
+        p, lengths, _, _ = tag(field, rest)
+        x = summary(p, lengths)
+    return Field(weights, field.bias, field.moves, logistic(x, toxic[~train], weight[~train]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -211,27 +285,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-class Tagger:
-    def __init__(self, field: Field):
-        self.field, self.known = field, {}
-        self.weights = field.weights.tolist()
-
-    def odds(self, words: list[str]) -> list[float]:
-        known, weights = self.known, self.weights
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                total = self.field.bias + sum([weights[zlib.crc32(f.encode()) & (1 << BITS) - 1] for f in features(w)])
-                known[w] = math.exp(min(15.0, max(-15.0, total)))
-        return [known[w] for w in words]
-
-    def tag(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of all words, end to end, and the numbers of words."""
-        words = [t.lower().split() for t in documents]
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        odds = np.array(self.odds([w for ws in words for w in ws]))
-        return marginals(odds, lengths, self.field.moves), lengths
+def tag(field: Field, documents: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Marginals of all words, end to end, the numbers of words, and the words
+    as ``words_of`` gives them."""
+    words, flat, lengths = words_of(documents)
+    owner, found = features(words)
+    total = field.bias + np.bincount(owner, field.weights[(found & np.uint64((1 << BITS) - 1)).astype(np.int64)], len(words))
+    return marginals(np.exp(np.clip(total, -15, 15))[flat], lengths, field.moves), lengths, words, flat
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, test: Column) -> tuple[DataFrame, dict[int, int]]:
@@ -252,11 +312,13 @@ def learn(docs: DataFrame, labels: DataFrame, test: Column) -> Field | None:
     sample, totals = labelled_sample(docs, labels, test)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((h, doc_id, text, toxic) for b in batches for h, doc_id, text, toxic in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "text", "toxic")), strict=True)), key=lambda r: r[:2])
-        toxic = np.array([int(r[3]) for r in rows], dtype=np.int64)
+        if not (held := [b for b in batches if b.num_rows]):
+            return
+        rows = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        toxic = rows.column("toxic").to_numpy().astype(np.int64)
         if 0 < toxic.sum() < len(toxic):
             each = np.array([totals.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1)])
-            field = fit_field([r[2] for r in rows], toxic, each[toxic] / max(each[toxic].mean(), 1e-9))
+            field = fit_field(rows.column("text").combine_chunks(), toxic, each[toxic] / max(each[toxic].mean(), 1e-9))
             arrays = {"weights": field.weights, "moves": field.moves.ravel(), "scorer": field.scorer}
             yield pa.RecordBatch.from_pydict({"bias": pa.array([float(field.bias)])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()})
 
@@ -267,25 +329,24 @@ def learn(docs: DataFrame, labels: DataFrame, test: Column) -> Field | None:
     return Field(weights, found["bias"], moves.reshape(2, 2), scorer)
 
 
-def tagged(tagger: Tagger | None, field: Field | None, documents: list[str]) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """Words' probabilities and documents' lengths and scores."""
-    if tagger and field:
-        p, lengths = tagger.tag(documents)
-        return p, lengths, sigmoid(summary(p, lengths) @ field.scorer)
-    lengths = np.array([len(t.lower().split()) for t in documents])
-    return np.zeros(int(lengths.sum())), lengths, np.zeros(len(documents))
+def judged(field: Field | None, documents: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """What ``tag`` gives, with the documents' scores in the third place."""
+    if field is None:
+        words, flat, lengths = words_of(documents)
+        return np.zeros(len(flat)), lengths, np.zeros(len(documents)), words, flat
+    p, lengths, words, flat = tag(field, documents)
+    return p, lengths, sigmoid(summary(p, lengths) @ field.scorer), words, flat
 
 
 def without_toxic(docs: DataFrame, field: Field | None) -> DataFrame:
     """The rows of ``docs`` that ``score`` doesn't predict as toxic, each judged
-    by its own text, whatever its id."""
+    by its own text, whatever its id; all columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        tagger = Tagger(field) if field else None
         for batch in slices(batches, most=SLICE_BYTES):
-            _, _, scores = tagged(tagger, field, [t or "" for t in batch.column("text").to_pylist()])
+            scores = judged(field, pc.fill_null(batch.column("text"), ""))[2]
             yield batch.filter(pa.array(scores < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
@@ -298,31 +359,24 @@ def score(docs: DataFrame, field: Field | None, keep_spans: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        tagger = Tagger(field) if field else None
         for batch in slices(batches, most=SLICE_BYTES):
-            documents = batch.column("text").to_pylist()
-            p, lengths, scores = tagged(tagger, field, documents)
-            ends = np.cumsum(lengths)
+            p, lengths, scores, words, flat = judged(field, batch.column("text"))
             hits = p >= SPAN_FROM
+            ends = np.cumsum(lengths)
             before = np.concatenate([[0], np.cumsum(hits)])
+            n_hits = before[ends] - before[ends - lengths]
             out = {
                 "doc_id": batch.column("doc_id"),
                 "score": pa.array(scores, pa.float64()),
                 "predicted": pa.array((scores >= 0.5).astype(np.int32), pa.int32()),
-                "n_toxic_words": pa.array(before[ends] - before[ends - lengths], pa.int64()),
+                "n_toxic_words": pa.array(n_hits, pa.int64()),
             }
             if keep_spans:
-                spans = []
-                for text, end, n in zip(documents, ends.tolist(), lengths.tolist(), strict=True):
-                    own = hits[end - n : end]
-                    found: list[dict[str, int]] = []
-                    if own.any():
-                        places = [m.span() for m in WORD.finditer(text.lower())]
-                        if len(places) == n and len(text.lower()) == len(text):
-                            found = [{"start": places[i][0], "end": places[i][1]} for i in np.flatnonzero(own).tolist()]
-                        else:  # lower-casing or a rare blank moved the offsets
-                            found = [{"start": a, "end": b} for (a, b), hit in zip(split_spans(text), own.tolist(), strict=True) if hit]
-                    spans.append(found)
+                spans: list[list[dict[str, int]]] = [[] for _ in range(len(lengths))]
+                for i in np.flatnonzero(n_hits).tolist():
+                    own = slice(ends[i] - lengths[i], ends[i])
+                    places = split_spans(batch.column("text")[i].as_py(), words.take(pa.array(flat[own])).to_pylist())
+                    spans[i] = [{"start": a, "end": b} for (a, b), hit in zip(places, hits[own].tolist(), strict=True) if hit]
                 out["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_pydict(out)
 
@@ -330,10 +384,10 @@ def score(docs: DataFrame, field: Field | None, keep_spans: bool = True) -> Data
     return texts(docs).mapInArrow(run, schema + ", spans array<struct<start:long,end:long>>" * keep_spans)
 
 
-def split_spans(text: str) -> list[tuple[int, int]]:
-    """Where ``text.split()`` finds its words."""
+def split_spans(text: str, words: list[str]) -> list[tuple[int, int]]:
+    """Where the text's ``words``, given in order, lie."""
     out, at = [], 0
-    for w in text.split():
+    for w in words:
         at = text.index(w, at)
         out.append((at, at + len(w)))
         at += len(w)

@@ -294,6 +294,50 @@ def test_marginals_against_enumeration():
     assert np.allclose(got[:4], hit / total) and np.isclose(got[4], 0.5 / 1.5)
 
 
+def test_toxicity_chains_against_plain_recursion():
+    """Documents of many lengths, 64 words and more included, against a plain
+    forward-backward per document; expected pairs too."""
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 0, 3, 200, 64, 65, 2, 0, 1000])
+    odds, moves = np.exp(rng.normal(0, 3, lengths.sum())), np.array([[0.7, 0.02], [1.5, 0.3]])
+    want, pairs, at = [], np.zeros((2, 2)), 0
+    for n in lengths:
+        o = odds[at : at + n]
+        at += n
+        a, b = np.zeros((n, 2)), np.ones((n, 2))
+        for t in range(n):
+            a[t] = (a[t - 1] @ moves if t else 1) * np.array([1, o[t]])
+            a[t] /= a[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = moves @ (np.array([1, o[t + 1]]) * b[t + 1])
+            b[t] /= b[t].sum()
+        want += (a * b / (a * b).sum(axis=1, keepdims=True))[:, 1].tolist()
+        for t in range(1, n):
+            x = a[t - 1][:, None] * moves * (np.array([1, o[t]]) * b[t])[None]
+            pairs += x / x.sum()
+    starts = toxicity.starts_of(lengths)
+    assert np.allclose(toxicity.marginals(odds, lengths, moves), want)
+    assert np.allclose(toxicity.pair_counts(odds, starts, moves, *toxicity.both_ways(odds, starts, moves)), pairs)
+
+
+def test_toxicity_score_against_brute_force(spark, odd):
+    """The query's scores from the field's weights, word by word in Python."""
+    import pyarrow as pa
+
+    docs = [f"w{i % 9} (scum), W{i % 5}! moron" if i % 3 == 0 else f"w{i % 9} fine {'x' * (i % 7)}" for i in range(300)]
+    y = np.array([int(i % 3 == 0) for i in range(300)])
+    field = toxicity.fit_field(pa.array(docs), y, np.ones(300))
+    for text in [*docs[:20], "", "scum " * 100, "!!! é ßa"]:
+        odds = []
+        for w in text.split():
+            core = re.sub(r"^[\W_]+|[\W_]+$", "", w.lower())
+            names = [(core, 0), *((core[:k], k) for k in (3, 4, 5, 6) if len(core) > k), *((core[-3:], 9) for _ in range(len(core) > 3))]
+            odds.append(np.exp(field.bias + sum(field.weights[int(toxicity.hashes(pa.array([f]), seed)[0]) & (1 << toxicity.BITS) - 1] for f, seed in names)))
+        p = toxicity.marginals(np.clip(np.array(odds), np.exp(-15), np.exp(15)), np.array([len(odds)]), field.moves)
+        x = [1, np.log1p(p.sum()), p.max(initial=0), np.sqrt(p.sum() / max(1, len(p)))]
+        assert np.isclose(toxicity.judged(field, pa.array([text]))[2][0], 1 / (1 + np.exp(-(x @ field.scorer))))
+
+
 def test_langid(spark, odd, empty):
     rng = random.Random(6)
     lexicon = {"en": ["the", "house", "with", "ing", "water"], "de": ["der", "haus", "mit", "ung", "wasser"]}
