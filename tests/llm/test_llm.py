@@ -346,6 +346,19 @@ def test_langid(spark, odd, empty):
     found = {r["doc_id"]: r for r in langid.identify(d, langid.learn(d, queries.remainder(4) != 2)).collect()}
     assert np.mean([found[i]["lang_pred"] == k for i, _, k in rows]) > 0.97
     assert found[900]["lang_pred"] == found[901]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in found.values())
+    # sizes by brute force, over texts on both sides of 2000 bytes
+    learned = langid.learn(d, queries.remainder(4) != 2)
+    long = [(i, (t + " ") * 20, k) for i, t, k in rows[:10]] + [(900 + i, t[: 7 * i], k) for i, t, k in rows[:10]]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(long, "doc_id long, text string, lang string"), learned).collect()}
+    for i, t, _ in long:
+        data = langid.reduced(t)
+        best = min(((len(tool.compress(data)), n, lang) for n, (lang, tool) in enumerate(learned.compressors())), default=(0, 0, "und"))[2] if data else "und"
+        assert got[i] == best
+    assert sum(len(c) for _, c in learned.dictionaries) <= 2 * (langid.DICTIONARY_BYTES + langid.DOCUMENTS)
+    for at in range(40):
+        piece = langid.share(b"ab cde fghi j klmno", at, 9)
+        assert len(piece) <= 9 and all(w in b"ab cde fghi j klmno".split() for w in piece.split())
+    assert langid.learn(d.withColumn("doc_id", F.lit(None).cast("long")), queries.remainder(4) != 2).dictionaries == ()
     nothing = langid.learn(empty, F.lit(True))
     assert langid.identify(odd, nothing).filter("lang_pred <> 'und'").count() == 0 and langid.identify(empty, nothing).count() == 0
 
