@@ -37,7 +37,7 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) alone: other columns, whatever
     their names, never reach an operator."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

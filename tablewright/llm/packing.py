@@ -15,8 +15,9 @@ never shuffled.
 
 Defined cases: null and empty texts are one piece of one token (the separator);
 documents longer than a sequence are cut into whole sequences with the shorter
-piece first; equal rows are packed each; an empty table gives an empty result;
-other columns are ignored.
+piece first; texts of any length are encoded whole, long runs of blanks
+included; equal rows are packed each; a null ``doc_id`` stays null and changes
+no other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,24 @@ def library_encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens=v.special)
 
 
+#: Runs of blanks from this length on are encoded on their own, as the compiled
+#: encoder's pattern backtracks over them.  Where they begin and end, words do too.
+LONG_BLANKS = regex.compile(r"\p{White_Space}{10000,}")
+
+
+def token_ids(coder: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The text's ids.  A run's last blank belongs to the word after it, if
+    there is one before the text or a special token ends the run."""
+    parts, at = [], 0
+    for m in LONG_BLANKS.finditer(text):
+        last = m.end() == len(text) or any(text.startswith(x, m.end()) for x in coder.special_tokens_set)
+        end = m.end() if last else m.end() - 1
+        parts += [coder.encode_to_numpy(text[at : m.start()], allowed_special="all"), np.array(coder._encode_single_piece(text[m.start() : end]), np.uint32)]
+        at = end
+    parts.append(coder.encode_to_numpy(text[at:] if at else text, allowed_special="all"))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def cut(total: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces."""
     n = -(-total // size)
@@ -62,7 +81,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, size: int, separator: int
             rows: list[tuple] = []
             kept: list[np.ndarray] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(coder.encode_to_numpy(text, allowed_special="all").astype("<u4"), np.array([separator], "<u4"))
+                ids = np.append(token_ids(coder, text).astype("<u4"), np.array([separator], "<u4"))
                 for i, (start, n) in enumerate(cut(len(ids), size)):
                     part = ids[start : start + n]
                     rows.append((doc, i, start, n, zlib.crc32(part.tobytes())))
@@ -121,31 +140,24 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, separator: int = 0,
     columns = [*pieces.columns]
     schema = PIECES + ", ids array<int>" * keep_ids + ", shard long, bin long, bin_offset long, fill long"
 
-    def first(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        bins, offsets, fill = sum_of_squares(g["length"].to_numpy(), size)
-        return g.assign(bin=bins, bin_offset=offsets, fill=fill[bins])
-
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    placed = dealt.groupBy("shard").applyInPandas(first, schema)
-    number = F.col("shard") * F.lit(1 << 32) + F.col("bin")
-    if shards == 1:
-        return placed.select(*columns, number.alias("sequence_id"), F.col("bin_offset").alias("offset"))
-    placed = settled(placed)
-
-    def second(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["fill", "shard", "bin"], ascending=[False, True, True], ignore_index=True)
-        bins, offsets, _ = sum_of_squares(g["fill"].to_numpy(), size)
-        heads = g[["shard", "bin"]].to_numpy()
-        lead = {b: i for i, b in reversed(list(enumerate(bins.tolist())))}
-        at = [lead[b] for b in bins.tolist()]
-        return pd.DataFrame({"shard": g["shard"], "bin": g["bin"], "to_shard": heads[at, 0], "to_bin": heads[at, 1], "moved": offsets})
+    def first(g: pa.Table) -> pa.Table:
+        g = g.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, offsets, fill = sum_of_squares(g.column("length").to_numpy(), size)
+        for name, values in (("bin", bins), ("bin_offset", offsets), ("fill", fill[bins])):
+            g = g.append_column(name, pa.array(values, pa.int64()))
+        return g
+
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards).cast("long")))
+    placed = settled(dealt.groupBy("shard").applyInArrow(first, schema))
+
+    def second(g: pa.Table) -> pa.Table:
+        g = g.sort_by([("fill", "descending"), ("shard", "ascending"), ("bin", "ascending")])
+        bins, offsets, _ = sum_of_squares(g.column("fill").to_numpy(), size)
+        lead = np.unique(bins, return_index=True)[1][bins]  # each new sequence's first old one
+        moved = {"shard": g.column("shard"), "bin": g.column("bin"), "to_shard": g.column("shard").take(pa.array(lead)), "to_bin": g.column("bin").take(pa.array(lead)), "moved": pa.array(offsets, pa.int64())}
+        return pa.table(moved)
 
     open_bins = placed.filter(F.col("fill") < size).groupBy("shard", "bin").agg(F.max("fill").alias("fill"))
-    merged = (
-        open_bins.withColumn("merge", F.floor(F.col("shard") / MERGED_SHARDS))
-        .groupBy("merge")
-        .applyInPandas(lambda g: second(g.drop(columns="merge")), "shard long, bin long, to_shard long, to_bin long, moved long")
-    )
+    merged = open_bins.withColumn("merge", F.floor(F.col("shard") / MERGED_SHARDS)).groupBy("merge").applyInArrow(second, "shard long, bin long, to_shard long, to_bin long, moved long")
     to = F.coalesce("to_shard", "shard") * F.lit(1 << 32) + F.coalesce("to_bin", "bin")
     return placed.join(merged, ["shard", "bin"], "left").select(*columns, to.alias("sequence_id"), (F.col("bin_offset") + F.coalesce("moved", F.lit(0))).alias("offset"))

@@ -260,6 +260,54 @@ def test_token_counts(spark, odd, empty):
     assert token_counts.section_tokens(empty, VOCABULARY).count() == 0 and token_counts.section_tokens(odd, VOCABULARY).count() == len(ODD)
 
 
+def brute_sections(text, ids, coder, sections):
+    """Token by token and code point by code point."""
+    owner_of, data = [], text.encode()
+    byte_point = [i for i, c in enumerate(text) for _ in c.encode()]
+    starts = [0, *sections[:-1]]
+    tokens, crossing, at = [0] * len(sections), [0] * len(sections), 0
+    for t in ids:
+        n = len(coder.decode_single_token_bytes(t))
+        points = sorted({byte_point[k] for k in range(at, at + n)})
+        at += n
+        held = [next(k for k, (a, b) in enumerate(zip(starts, sections)) if a <= p < b) for p in points]
+        best = max(set(held), key=lambda k: (held.count(k), -k))
+        tokens[best] += 1
+        crossing[best] += len(set(held)) > 1
+        owner_of.append(best)
+    assert at == len(data)
+    return list(zip(range(len(sections)), starts, sections, tokens, crossing))
+
+
+def test_token_counts_against_brute_force(spark):
+    rng, coder = random.Random(12), packing.library_encoder(VOCABULARY)
+    parts = ["word ", "é", "🎉", "\n", "\n\n\n", "   ", "international", "'ll", "१२"]
+    rows = []
+    for i in range(120):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        rows.append((i, text, [rng.choice([None, rng.randint(-2, len(text) + 3)]) for _ in range(rng.randint(0, 12))] if i % 10 else None, rng.choice(["a title", None, "é"]), "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ends array<int>, title string, section string")
+    pick = lambda df: {i: sorted((r["section"], r["start"], r["end"], r["n_tokens"], r["n_crossing"]) for r in found) for i, found in by_doc(df.collect()).items()}
+    lines, spans, fields = pick(token_counts.section_tokens(docs, VOCABULARY)), pick(token_counts.section_tokens(docs, VOCABULARY, ends="ends")), pick(token_counts.section_tokens(docs, VOCABULARY, fields=("title", "text", "section")))
+    for i, text, ends, title, _ in rows:
+        ids = coder.encode(text)
+        breaks = [k + 1 for k, c in enumerate(text) if c == "\n"]
+        assert lines[i] == brute_sections(text, ids, coder, breaks if breaks and breaks[-1] == len(text) else [*breaks, len(text)])
+        given = sorted(min(max(e, 0), len(text)) for e in ends or [] if e is not None)
+        assert spans[i] == brute_sections(text, ids, coder, given if given and given[-1] == len(text) else [*given, len(text)])
+        own = [(title or "") + "\n", text + "\n", "x"]
+        closed = [len(own[0]), len(own[0]) + len(own[1]), len("".join(own))]
+        assert fields[i] == brute_sections("".join(own), coder.encode("".join(own)), coder, closed)
+    assert any(c for r in spans.values() for *_, c in r)
+
+
+def by_doc(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["doc_id"], []).append(r)
+    return out
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(4)
     docs, labels = [], []
@@ -407,8 +455,31 @@ def test_library_encoder_agrees():
     parts = ["é", "🎉", "<|endoftext|>", "don't", "  ", "\n", "\r\n\t", "\u00a0", "\u3000", "१२", "ﬁ", "e\u0301", "中文", "A", "word", " 1234567", "'ll", "...", "\x00", "\u200d"]
     odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(500)]
     long = ["word " * 20000, "a" * 5000, " " * 5000, "\n" * 5000, "é🎉" * 3000]
-    for text in [x or "" for _, x in ODD] + odd + long:
-        assert coder.encode_to_numpy(text, allowed_special="all").tolist() == t.encode(text, add_special_tokens=False).ids
+    blanks = [" " * 2000000, "\n" * 2000000, " " * 2000000 + "a", "b" + " \n" * 1000000 + "c", "\u3000" * 20000 + "x" + "\t" * 20000, " " * 20000 + "<|endoftext|>" + "\n" * 20000 + "<|endoftext|>y", "\x1c" * 20000, "a" * 2000000]
+    for text in [x or "" for _, x in ODD] + odd + long + blanks:
+        assert packing.token_ids(coder, text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_long_blanks_and_exact_ids(spark):
+    """Ids of pieces against the tokenizers library; large ids beside nulls."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+    rows = [(9007199254740993, " " * 1000000 + "a"), (None, "x"), (9007199254740995, "\n" * 700000), (None, None)]
+    found = by_doc(packing.pack(table(spark, rows), VOCABULARY, keep_ids=True).collect())
+    assert set(found) == {9007199254740993, 9007199254740995, None}
+    for i, text in rows:
+        if i:
+            assert [x for r in sorted(found[i], key=lambda r: r["piece"]) for x in r["ids"]] == [*t.encode(text, add_special_tokens=False).ids, 0]
+    assert sum(r["n_tokens"] for r in token_counts.section_tokens(table(spark, rows[:1]), VOCABULARY).collect()) == len(t.encode(rows[0][1]).ids)
+
+
+def test_library_encoder_over_documents(spark):
+    from tokenizers import Tokenizer
+
+    coder, t = packing.library_encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert packing.token_ids(coder, r["text"] or "").tolist() == t.encode(r["text"] or "", add_special_tokens=False).ids
 
 
 def test_pipeline(spark):
