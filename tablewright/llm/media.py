@@ -8,11 +8,16 @@ touches the payload.  Reading the payload back goes by the decoded tables.
 
 One narrow stage, one document at a time: memory follows the longest text.
 
+The digest column ``feature`` tells of the boxes, whose tables follow from the
+number of frames, so texts of equal length share it.
+
 Defined cases: null and empty texts give one frame of padding; texts of any
-length are stored whole; truncated or foreign files raise ``ValueError``; boxes
-of unknown type are skipped; 64-bit box sizes and boxes that run to the end of
-the file are read; repeated rows give repeated results; other columns are
-ignored; an empty table gives an empty result.
+length are stored whole; truncated, foreign or inconsistent files (a table or
+box missing or cut off, samples outside the file, keyframes without a sample)
+raise ``ValueError``; boxes of unknown type are skipped; several and nested
+tracks are all read; 64-bit box sizes and boxes that run to the end of the file
+are read; repeated rows give repeated results; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,10 +141,13 @@ def walk(data: bytes) -> list[Track]:
             else:
                 found[kind] = a, b
 
-    for kind, a, b in boxes(view):
-        kinds.add(kind)
-        if kind == b"moov":
-            gather(a, b, {})
+    try:
+        for kind, a, b in boxes(view):
+            kinds.add(kind)
+            if kind == b"moov":
+                gather(a, b, {})
+    except (struct.error, KeyError, IndexError, OverflowError, RecursionError) as e:
+        raise ValueError(f"a malformed file: {e!r}") from e
     if b"ftyp" not in kinds or b"moov" not in kinds:
         raise ValueError("no ISO media file")
     return tracks
@@ -149,6 +157,8 @@ def track(view: memoryview, at: dict[bytes, tuple[int, int]]) -> Track:
     def table(kind: bytes, skip: int, width: int, big: bool = False) -> np.ndarray:
         a, b = at[kind]
         (n,) = struct.unpack_from(">I", view, a + skip)
+        if a + skip + 4 + n * width * (8 if big else 4) > b:
+            raise ValueError(f"table {kind!r} is cut off")
         return np.frombuffer(view[a + skip + 4 : b], dtype=">u8" if big else ">u4", count=n * width).astype(np.int64).reshape(n, width)
 
     a, _ = at[b"mdhd"]
@@ -157,10 +167,14 @@ def track(view: memoryview, at: dict[bytes, tuple[int, int]]) -> Track:
     codec = bytes(view[entry + 4 : entry + 8]).decode("latin-1")
     width, height = struct.unpack_from(">HH", view, entry + 32)
     fixed, n = struct.unpack_from(">II", view, at[b"stsz"][0] + 4)
+    if fixed * n > len(view):
+        raise ValueError("more samples than the file holds")
     sizes = np.full(n, fixed, np.int64) if fixed else table(b"stsz", 8, 1)[:, 0]
     starts = table(b"co64", 4, 1, True)[:, 0] if b"co64" in at else table(b"stco", 4, 1)[:, 0]
     runs = table(b"stsc", 4, 3)
     spans = np.diff(np.append(runs[:, 0], len(starts) + 1))
+    if n and (runs[0, 0] != 1 or (spans < 0).any() or int((runs[:, 1] * spans).sum()) != n):
+        raise ValueError("stsc and stsz disagree")
     chunk = np.repeat(np.arange(len(starts)), np.repeat(runs[:, 1], spans))[:n]
     before = np.cumsum(sizes) - sizes
     lead = np.searchsorted(chunk, chunk)  # each sample's first in its chunk
@@ -170,6 +184,8 @@ def track(view: memoryview, at: dict[bytes, tuple[int, int]]) -> Track:
     ticks = table(b"stts", 4, 2)
     if int(ticks[:, 0].sum()) != n:
         raise ValueError("stts and stsz disagree")
+    if n and (samples.min() < 0 or samples.max() > len(view)) or len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("samples or keyframes lie outside")
     return Track(codec, width, height, timescale, duration, n, samples, samples[keys])
 
 
