@@ -12,7 +12,11 @@ No shuffle: one narrow stage over whole texts.
 
 Kinds, in this order: ``email``, ``ip`` (parts at most 255), ``card`` (16 to 19
 digits, Luhn), ``phone`` (8 to 15 digits) and, added by this method, ``iban``
-(mod 97).  An IBAN has its country's length, so words after it don't matter;
+(mod 97) and ``secret`` (32 characters or more of a key's alphabet, letters and
+digits among them).  A span's score is its kind's, and more where one of the
+kind's words is near.  Of the added kinds those with ``LEAST_ADDED`` or more are
+reported: an IBAN always, as its checksum confirms it; a secret, which has none,
+only with a word for it nearby.    An IBAN has its country's length, so words after it don't matter;
 codes of no listed country take the longest run that fits.  Proposals of IBANs
 begin at every word, as a failed one may hold the next one's start; of confirmed
 ones that overlap the first stays.  Spans of different kinds may overlap; all
@@ -37,6 +41,7 @@ from .common import texts
 BLOCK = 512
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.25
+LEAST_ADDED = 0.5
 
 
 #: Lengths of IBANs: the registry of ISO 13616, then countries that use them unregistered.
@@ -78,6 +83,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.6, ("card", "visa", "credit", "payment", "account")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.5, ("phone", "call", "tel", "mobile", "fax")),
     Kind("iban", iban_pattern(), None, 0.7, ("iban", "bank", "account", "transfer"), 4),
+    Kind("secret", r"(?:\G|(?<![A-Za-z0-9_+/-]))[A-Za-z0-9_+/-]{32,}+={0,2}+", None, 0.3, ("token", "secret", "password", "passwd", "api", "key", "auth", "credential")),
 )
 BASE = ("email", "ip", "card", "phone")
 NAMES = tuple(k.name for k in KINDS)
@@ -120,6 +126,8 @@ def confirmed(kind: str, m: Column) -> Column:
         return F.length(digits(m)).between(8, 15)
     if kind == "iban":
         return mod97(m)
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -171,6 +179,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
             return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), end.alias("end"), (F.lit(k.score) + bonus).alias("score"))
 
         made = F.transform(good, scored)
+        if k.name not in BASE:
+            made = F.filter(made, lambda s: s["score"] >= LEAST_ADDED)
         return F.when(F.col(f"e_{k.name}").isNotNull(), made if k.consumed is None else apart(made)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
     return summed.select("doc_id", "text", F.concat(*(spans(k) for k in KINDS)).alias("spans"))

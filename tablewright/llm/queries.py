@@ -32,7 +32,7 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"), "n_iban", "n_secret", F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
