@@ -16,6 +16,8 @@ repeated rows; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +26,41 @@ from .common import settled
 #: JSON type names by what the variant type calls them.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*$", "array": "^ARRAY.*$"}
 
-Schema = dict[str, tuple[str, bool]]
+#: A value's form: a type's name, ``{"enum": [...]}``, ``{"array": form}`` or
+#: ``{"object": schema}``; a schema's fields have a form and whether they must be.
+Form = str | dict
+Schema = dict[str, tuple[Form, bool]]
+
+
+def canonical(text: Column) -> Column:
+    """Canonical JSON text; null where ``text`` doesn't parse."""
+    return F.to_json(F.try_parse_json(text))
 
 
-def canonical(json: Column) -> Column:
-    """Canonical JSON text; null where ``json`` doesn't parse."""
-    return F.to_json(F.try_parse_json(json))
+def fits(value: Column, form: Form) -> Column:
+    """Whether a variant that isn't null has the form."""
+    if isinstance(form, str):
+        return F.schema_of_variant(value).rlike(TYPES[form])
+    if "enum" in form:
+        return F.to_json(value).isin([json.dumps(x, separators=(",", ":"), ensure_ascii=False) for x in form["enum"]])
+    if "array" in form:
+        return F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(fits(x, form["array"]), F.lit(False))), F.lit(False))
+    fields: Schema = form["object"]
+    keys = F.json_object_keys(F.to_json(value))
+    ok = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)) & (F.size(F.array_except(keys, F.array(*map(F.lit, fields)).cast("array<string>"))) == 0)
+    for field, (inner, required) in fields.items():
+        here = F.try_variant_get(value, f"$.{field}", "variant")
+        absent = here.isNull() | (F.schema_of_variant(here) == "VOID")
+        ok = ok & F.when(absent, F.lit(not required)).otherwise(F.coalesce(fits(here, inner), F.lit(False)))
+    return ok
 
 
 def valid_arguments(name: Column, arguments: Column, schemas: dict[str, Schema]) -> Column:
     """Whether arguments satisfy the schema of the tool ``name``: required
-    fields present, known fields of their type, no unknown fields."""
-    parsed = F.try_parse_json(arguments)
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    found = F.lit(False)
+    fields present, known fields of their form at any depth, no unknown fields."""
+    parsed, found = F.try_parse_json(arguments), F.lit(False)
     for tool, fields in schemas.items():
-        ok = is_object & (F.size(F.array_except(F.json_object_keys(arguments), F.array(*map(F.lit, fields)))) == 0)
-        for field, (kind, required) in fields.items():
-            here = F.try_variant_get(parsed, f"$.{field}", "variant")
-            absent = here.isNull() | (F.schema_of_variant(here) == "VOID")
-            ok = ok & F.when(absent, F.lit(not required)).otherwise(F.schema_of_variant(here).rlike(TYPES[kind]))
-        found = F.when(name == tool, ok).otherwise(found)
+        found = F.when(name == tool, fits(parsed, {"object": fields})).otherwise(found)
     return F.coalesce(found, F.lit(False))
 
 
@@ -94,8 +110,12 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFram
     first = calls.groupBy("call_id").agg(F.min(F.struct("turn", "depends_on")).alias("f")).select("call_id", "f.depends_on")
     levels = topological_levels(first)
     results = messages.filter("answers IS NOT NULL").groupBy("answers").agg(F.min("turn").alias("answered"))
-    known = levels.join(results, F.col("call_id") == F.col("answers"), "left").select(F.col("call_id").alias("id"), "level", F.col("answered").isNotNull().alias("has_result"))
-    rows = messages.withColumn("id", F.coalesce("call_id", "answers")).join(known, "id", "left")
+    known = settled(levels.join(results, F.col("call_id") == F.col("answers"), "left").select(F.col("call_id").alias("id"), "level", F.col("answered").isNotNull().alias("has_result")))
+    # Known ids are settled, so that a skewed join can be split; messages
+    # without an id stay where they are.
+    named = messages.withColumn("id", F.coalesce("call_id", "answers"))
+    met = named.filter("id IS NOT NULL").join(known, "id", "left")
+    rows = met.unionByName(named.filter("id IS NULL").withColumns({"level": F.lit(None).cast("int"), "has_result": F.lit(None).cast("boolean")}))
     is_call, is_result = F.col("call_id").isNotNull(), F.col("answers").isNotNull()
     valid = F.when(is_call, valid_arguments(F.col("name"), F.col("arguments"), schemas))
     linked = F.when(is_call, F.coalesce("has_result", F.lit(False))).when(is_result, F.col("has_result").isNotNull())
