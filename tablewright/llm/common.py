@@ -68,3 +68,28 @@ def ascii_lower(c: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bits of a filter of hashes: its size is fixed, whatever it holds.
+FILTER_BITS = 1 << 23
+
+
+def filter_words(keys: DataFrame, key: str) -> DataFrame:
+    """A filter of the hashes ``key`` as rows ``word, bits`` of 64 bits, at most
+    ``FILTER_BITS / 64`` of them, which bounds its broadcast."""
+    slot = F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1))
+    return keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def parted(rows: DataFrame, key: str, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose hash ``key`` surely isn't in the filter, and the others.
+    A narrow stage: what it lets pass needs no shuffle."""
+    words = words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    met = rows.join(F.broadcast(words), F.shiftright(F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1)), 6) == F.col("__word"), "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(__bits, cast({key} & 63 as int)) & 1L"), F.lit(0)) == 1
+    return met.filter(~hit).drop("__word", "__bits"), met.filter(hit).drop("__word", "__bits")
+
+
+def as_struct(docs: DataFrame) -> Column:
+    """All columns as one, so that their names clash with no other."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,18 +8,25 @@ chunks of one huge document can be hashed by different tasks
 then compared with the row that stays, chunk by chunk, as a stream.
 
 Plan: one narrow stage makes fingerprints (settled: about 100 bytes a row);
-one aggregation with map-side combining finds groups, so a group with a third
-of all rows still sends one row a task.  Texts of proposed rows alone are
-compared: a group's rows are dealt over ``ceil(size / SALT_ROWS)`` salts, and
-the row that stays is copied to each salt, so no task gets an unbounded group
-and a task holds two texts at a time.  Rows that turn out unequal (a collision)
-form a group of their own in the next round, until none is left.
+one aggregation with map-side combining finds groups of several rows, so a group
+with a third of all rows still sends one row a task; groups are settled, so
+that the join that hands them to their rows can be split where it is skewed.
+Texts of proposed rows alone are compared: a filter of their hashes, of a fixed
+size, tells at the scan which rows can be meant, and only those are shuffled.  A
+group's rows are dealt over ``ceil(size / SALT_ROWS)`` salts, and one text that
+stays is copied to each salt, so no task gets an unbounded group and a task
+holds two texts at a time.  Rows that turn out unequal (a collision) form a
+group of their own in the next round, until none is left.  A huge document is a
+row, so one task reads it; it is hashed chunk by chunk, and documents that are
+stored as rows of chunks are hashed by as many tasks (``combine_chunks``).
 
 Defined cases: null text equals empty text; ``normalise`` maps texts before
 anything else (nothing by default); ties are impossible between different
 ``doc_id``; of repeated rows with the same ``doc_id`` exactly one is kept; null
 ``doc_id`` sorts before all others; other columns are ignored; an empty table
-gives an empty result.
+gives an empty result.  Of chunks: null text is empty, repeated equal rows count
+once; documents whose chunks aren't numbered 0, 1, ... without a gap, or have
+two texts for a number, have null fingerprints; a null ``doc_id`` is one document.
 """
 
 from __future__ import annotations
@@ -28,10 +35,10 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, slices, texts
+from .common import as_struct, filter_words, parted, settled, slices, texts
 
 #: The largest prime under 2^128.
 PRIME = (1 << 128) - 159
@@ -88,18 +95,20 @@ def combine_chunks(chunks: DataFrame) -> DataFrame:
     """``doc_id, fp_hi, fp_lo, n_bytes`` of documents stored as rows
     ``doc_id, chunk int, text``: each chunk is hashed where it lies, and a
     document's few hashes meet to be combined in order."""
-    hashed = fingerprints(texts(chunks, "chunk"), "chunk")
+    hashed = fingerprints(texts(chunks, "chunk"), "chunk").dropDuplicates(["doc_id", "chunk", "fp_hi", "fp_lo", "n_bytes"])
 
-    def run(g):
-        import pandas as pd
+    def run(g: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(g.column(c).to_pylist() for c in ("chunk", "fp_hi", "fp_lo", "n_bytes")), strict=True), key=lambda r: (r[0] is None, r))
+        found: tuple[int | None, int | None, int | None] = (None, None, None)
+        if [r[0] for r in rows] == list(range(len(rows))):
+            total = size = 0
+            for _, hi, lo, n in rows:
+                total = combine(total, (hi & (1 << 64) - 1) << 64 | lo & (1 << 64) - 1, n)
+                size += n
+            found = (*halves(total), size)
+        return pa.table({"doc_id": g.column("doc_id").slice(0, 1)} | {c: pa.array([v], pa.int64()) for c, v in zip(("fp_hi", "fp_lo", "n_bytes"), found, strict=True)})
 
-        total = size = 0
-        for r in g.sort_values("chunk").itertuples():
-            total = combine(total, (r.fp_hi & (1 << 64) - 1) << 64 | r.fp_lo & (1 << 64) - 1, r.n_bytes)
-            size += r.n_bytes
-        return pd.DataFrame([(g["doc_id"].iloc[0], *halves(total), size)], columns=["doc_id", "fp_hi", "fp_lo", "n_bytes"])
-
-    return hashed.drop("text_sha256").groupBy("doc_id").applyInPandas(run, "doc_id long, fp_hi long, fp_lo long, n_bytes long")
+    return hashed.drop("text_sha256").groupBy("doc_id").applyInArrow(run, "doc_id long, fp_hi long, fp_lo long, n_bytes long")
 
 
 GROUP = ["round", "fp_hi", "fp_lo", "n_bytes"]
@@ -107,7 +116,8 @@ GROUP = ["round", "fp_hi", "fp_lo", "n_bytes"]
 
 def unequal(docs: DataFrame, proposed: DataFrame) -> DataFrame:
     """``doc_id, mark`` of proposed rows whose text is not that of the row that
-    stays.  ``proposed``: ``doc_id, mark, keep_id, group_size`` and GROUP."""
+    stays.  ``proposed``: ``doc_id, mark, keep_id, keep_mark, group_size`` and
+    GROUP, each ``doc_id, mark`` once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, b""
@@ -126,40 +136,54 @@ def unequal(docs: DataFrame, proposed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs_out, pa.int64()), "mark": pa.array(marks_out, pa.int64())})
 
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    rows = docs.alias("t").join(proposed.dropDuplicates(["doc_id", "mark"]).alias("p"), F.expr("t.doc_id <=> p.doc_id AND t.mark = p.mark")).select("t.doc_id", "t.mark", "t.text", *GROUP, "keep_id", "group_size")
-    dealt = rows.select(*GROUP, stays.alias("stays"), "doc_id", "mark", "text", F.explode(F.when(stays, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.hash("doc_id"), salts)))).alias("salt"))
+    # Places in the scan deal rows, so that repeated ones spread too.
+    meant = parted(docs.withColumn("deal", F.monotonically_increasing_id()), "mark", filter_words(proposed, "mark"))[1]
+    rows = meant.alias("t").join(proposed.alias("p"), F.expr("t.doc_id <=> p.doc_id AND t.mark = p.mark")).select("t.doc_id", "t.mark", "t.text", "t.deal", *GROUP, "keep_id", "keep_mark", "group_size")
+    heads = rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))).dropDuplicates(GROUP)
+    copies = heads.select(*GROUP, F.lit(True).alias("stays"), "doc_id", "mark", "text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = copies.unionByName(rows.select(*GROUP, F.lit(False).alias("stays"), "doc_id", "mark", "text", F.pmod(F.hash("deal"), salts).alias("salt")))
     keys = [*GROUP, "salt"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys, F.col("stays").desc()).mapInArrow(run, "doc_id long, mark long")
 
 
+def grouped(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the rows of ``source`` (``doc_id, text, mark``) with a
+    number ``rid`` each, and the groups of several equal texts."""
+    # A mark tells rows of one doc_id with different texts apart.
+    hashed = settled(fingerprints(source, "mark").withColumns({"round": F.lit(0), "rid": F.monotonically_increasing_id()}))
+    top = 0
+    while True:
+        last = F.max(F.struct("doc_id", "rid", "mark"))
+        groups = settled(hashed.groupBy(*GROUP).agg(last.alias("top"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1").select(*GROUP, F.col("top.doc_id").alias("keep_id"), F.col("top.rid").alias("keep_rid"), F.col("top.mark").alias("keep_mark"), "group_size"))
+        proposed = settled(hashed.filter(F.col("round") == top).join(groups, GROUP).dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", *GROUP, "keep_id", "keep_mark", "group_size"))
+        wrong = settled(unequal(source, proposed))
+        if wrong.isEmpty():
+            return hashed, groups
+        off = wrong.dropDuplicates().withColumn("off", F.lit(1))
+        hashed = settled(hashed.alias("h").join(off.alias("o"), F.expr("h.doc_id <=> o.doc_id AND h.mark = o.mark"), "left").select("h.doc_id", "fp_hi", "fp_lo", "n_bytes", "text_sha256", "h.mark", "rid", (F.col("round") + F.coalesce("off", F.lit(0))).alias("round")))
+        top += 1
+
+
 def exact_duplicates(docs: DataFrame, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``: one row for each row
     of ``docs``.  The largest ``doc_id`` of equal texts stays."""
     source = texts(docs)
     if normalise is not None:
         source = source.select("doc_id", normalise(F.col("text")).alias("text"))
-    # A mark tells rows of one doc_id with different texts apart.
-    source = source.withColumn("mark", F.xxhash64("text"))
-    hashed = settled(fingerprints(source, "mark").withColumn("round", F.lit(0)))
-    while True:
-        groups = hashed.groupBy(*GROUP).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        proposed = hashed.join(groups.filter("group_size > 1"), GROUP).select("doc_id", "mark", *GROUP, "keep_id", "group_size")
-        top = hashed.agg(F.max("round")).first()[0]
-        wrong = settled(unequal(source, proposed.filter(F.col("round") == F.lit(top))))
-        if wrong.isEmpty():
-            break
-        off = wrong.dropDuplicates().withColumn("off", F.lit(1))
-        hashed = settled(hashed.alias("h").join(off.alias("o"), F.expr("h.doc_id <=> o.doc_id AND h.mark = o.mark"), "left").select("h.doc_id", "fp_hi", "fp_lo", "n_bytes", "text_sha256", "h.mark", (F.col("round") + F.coalesce("off", F.lit(0))).alias("round")))
-    found = hashed.join(groups, GROUP)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "mark", "round").orderBy("n_bytes"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    return found.withColumn("nth", nth).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    hashed, groups = grouped(source.withColumn("mark", F.xxhash64("text")))
+    alone = F.col("group_size").isNull()
+    return hashed.join(groups, GROUP, "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.when(alone, F.lit(True)).otherwise(F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256"
+    )
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns.  Repeated rows of
-    one ``doc_id`` and text are one row."""
-    found = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__doc"), "text_sha256")
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).dropDuplicates(["doc_id", "__sha"])
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__sha") == F.col("text_sha256")), "left_semi").drop("__sha")
+    one ``doc_id`` and text are one row.  Only rows of groups are shuffled."""
+    hashed, groups = grouped(texts(docs).withColumn("mark", F.xxhash64("text")))
+    members = settled(hashed.join(groups, GROUP).select("doc_id", "mark", (F.col("rid") == F.col("keep_rid")).alias("kept")).groupBy("doc_id", "mark").agg(F.max("kept").alias("kept")))
+    rows = docs.select(as_struct(docs).alias("row"), "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
+    sure, maybe = parted(rows, "mark", filter_words(members, "mark"))
+    met = maybe.alias("r").join(members.alias("m"), F.expr("r.doc_id <=> m.doc_id AND r.mark = m.mark"), "left")
+    alone, stay = met.filter("m.kept IS NULL").select("r.row"), met.filter("m.kept").select("r.row", "r.doc_id", "r.mark").dropDuplicates(["doc_id", "mark"]).select("row")
+    return sure.select("row").unionByName(alone).unionByName(stay).select("row.*")

@@ -239,6 +239,9 @@ def test_chunks_and_collisions(spark, monkeypatch):
     chunks = spark.createDataFrame([(1, k, text[i : i + 700]) for k, i in enumerate(range(0, 5000, 700))], "doc_id long, chunk int, text string")
     whole = exact_dedup.fingerprints(table(spark, [(1, text)]).select("doc_id", "text")).first()
     assert exact_dedup.combine_chunks(chunks).first()[:4] == whole[:4]
+    odd = spark.createDataFrame([(1, 0, "a"), (1, 0, "a"), (1, 1, None), (2, 0, "a"), (2, 2, "b"), (3, 0, "a"), (3, 0, "b"), (4, None, "a"), (None, 0, "ab"), (9007199254740993, 0, "x")], "doc_id long, chunk int, text string")
+    found = {r["doc_id"]: r["n_bytes"] for r in exact_dedup.combine_chunks(odd).collect()}
+    assert found == {1: 1, 2: None, 3: None, 4: None, None: 2, 9007199254740993: 1} and exact_dedup.combine_chunks(odd.limit(0)).count() == 0
     # a fingerprint that sees lengths only: comparison must part unequal texts
     monkeypatch.setattr(exact_dedup, "fingerprint_stream", lambda data: len(data))
     rows = [(i, t) for i, t in enumerate(["aa", "bb", "aa", "cc", "bb", "d"])]
@@ -474,6 +477,53 @@ def test_langid(spark, odd, empty):
     assert langid.identify(odd, nothing).filter("lang_pred <> 'und'").count() == 0 and langid.identify(empty, nothing).count() == 0
 
 
+def test_rows_stay_with_clashing_columns(spark):
+    """Repeated rows, nulls and columns named as the operator's own."""
+    rows = [(1, "a", 1, "x"), (1, "a", 1, "x"), (2, "a", 2, "y"), (None, "a", 3, "z"), (None, None, 4, "u"), (5, "", 5, "v"), (6, "q", 6, None)] + [(7, "r", 7, "w")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark long, `__sha` string").withColumns({"row": F.lit(1), "word": F.lit(2), "kept": F.lit(3)})
+    kept = exact_dedup.without_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(str, (tuple(r)[:4] for r in kept.collect()))) == sorted(map(str, [rows[2], rows[5], rows[6], rows[7]]))
+
+
+def test_hot_group_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 7)
+    rows = [(i % 50, "same") for i in range(300)] + [(1000 + i, f"t{i}") for i in range(30)]
+    found = exact_dedup.exact_duplicates(table(spark, rows)).collect()
+    assert len(found) == 330 and sum(r["kept"] for r in found) == 31 and {r["group_size"] for r in found if r["doc_id"] < 1000} == {300} and {r["keep_id"] for r in found if r["doc_id"] < 1000} == {49}
+
+
+def test_chat_nested_schemas(spark):
+    schema = {"find": {"where": ({"object": {"city": ("string", True), "zip": ("integer", False)}}, True), "tags": ({"array": "string"}, False), "sort": ({"enum": ["asc", "desc", 3]}, False)}}
+    cases = [
+        ('{"where": {"city": "x"}}', True), ('{"where": {"city": "x", "zip": 1}, "tags": [], "sort": "asc"}', True), ('{"where": {"city": "x"}, "tags": ["a", "b"], "sort": 3}', True),
+        ('{"where": {"zip": 1}}', False), ('{"where": {"city": 5}}', False), ('{"where": {"city": "x", "street": "y"}}', False), ('{"where": []}', False), ('{"where": "x"}', False),
+        ('{"where": {"city": "x"}, "tags": ["a", 1]}', False), ('{"where": {"city": "x"}, "tags": "a"}', False), ('{"where": {"city": "x"}, "sort": "up"}', False), ('{"tags": []}', False), ("null", False), ("", False), (None, False),
+    ]
+    m = spark.createDataFrame([("c", i, "assistant", None, str(i), None, "find", a, None) for i, (a, _) in enumerate(cases)], "conv_id string, turn int, role string, content string, call_id string, answers string, name string, arguments string, depends_on array<string>")
+    assert {r["turn"]: r["valid"] for r in chat.link_tool_calls(m, schema).collect()} == {i: ok for i, (_, ok) in enumerate(cases)}
+
+
+def test_chat_diamonds_and_repeats(spark):
+    """Levels by brute force on random graphs with several dependencies, ids
+    and messages that repeat, several results, clashing columns."""
+    rng = random.Random(1)
+    needs = {f"c{i}": [f"c{rng.randrange(i)}" for _ in range(rng.randint(0, 3)) if i] for i in range(40)}
+    needs |= {"x": ["y"], "y": ["x"], "z": ["x", "c1"]}
+
+    def level(c, seen=()):
+        if c in seen:
+            return None
+        below = [level(n, (*seen, c)) for n in needs[c]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    rows = [("c", i, "assistant", "w " * 20000 if i == 3 else None, c, None, "t", "{}", n) for i, (c, n) in enumerate(needs.items())]
+    rows += rows[:3] + [("c", 90, "tool", "r", None, "c5", None, None, None), ("c", 91, "tool", "r", None, "c5", None, None, None)] + [("c", 92, "assistant", None, "c7", None, "t", "{}", ["gone"])] + [(None, None, None, None, None, None, None, None, None)] * 3
+    m = spark.createDataFrame(rows, "conv_id string, turn int, role string, content string, call_id string, answers string, name string, arguments string, depends_on array<string>").withColumns({"id": F.lit(1), "linked": F.lit(2), "needs": F.lit(3)})
+    got = chat.link_tool_calls(m, {"t": {}}).collect()
+    assert len(got) == len(rows) and all(r["level"] == level(r["id"]) for r in got if r["id"])
+    assert [r["linked"] for r in got if r["id"] == "c5"] == [True] * 3
+
+
 def test_chat(spark):
     rows = [
         ("c", 1, "assistant", None, "a", None, "add", '{"y": 2, "x": 1}', []),
