@@ -43,7 +43,7 @@ from .common import as_struct, filter_words, parted, settled, slices, texts
 #: The largest prime under 2^128.
 PRIME = (1 << 128) - 159
 CHUNK_BYTES = 1 << 16
-SALT_ROWS = 1000
+SALT_ROWS = 200
 
 
 def fingerprint(data: bytes) -> int:
