@@ -3,14 +3,15 @@ from the triangle inequality, regions joined recursively and exactly.
 
 ``1 - J`` is a metric on sets of shingles.  Distances between unrelated
 documents are all close to 1, so regions around *documents* alone don't part
-them.  Two levels of pivots do:
+them.  Two kinds of pivots do:
 
 1. The first level's pivots are the sets of a single shingle, ordered by how
-   few documents hold that shingle (unknown and rare ones first, then by
-   count).  A document's region is the first of its shingles.  A document that
-   is to reach every partner within distance 0.2 is replicated to the regions
-   of its first ``n - ceil(0.8 n) + 1`` shingles: a partner shares at least
-   ``ceil(0.8 n)`` of its ``n`` shingles, so one of these.
+   few documents hold that shingle (those of one document, then by count, then
+   those that aren't counted).  A document's region is the first of its
+   shingles.  A document that is to reach every partner within distance 0.2 is
+   replicated to the regions of its first ``n - ceil(0.8 n) + 1`` shingles: a
+   partner shares at least ``ceil(0.8 n)`` of its ``n`` shingles, so one of
+   these.
 2. Inside a region documents are pivots: the one that holds the most frequent
    shingles (the middle of a group of near copies) and one by hash.  All
    members are compared with the pivots, exactly.  Members within 0.2 of a
@@ -18,20 +19,27 @@ them.  Two levels of pivots do:
    left, pairs of members not known to be one component, must lie in the window
    that the triangle inequality leaves, ``|d(x,p) - d(y,p)| <= 0.2`` for each
    pivot, and in the window of sizes.  Regions with many such members are
-   joined again with new pivots; small ones by comparing the pairs left.
-   Before sets are compared, their sketches are: parities in 1024 cells, a
-   projection that never lengthens the distance |x| + |y| - 2 |x and y|, which
-   must be at most a ninth of |x| + |y|.
-
-Cost at scale: counts are made over all documents (shingles whose hash lies in
-the lower half of the range, as packed arrays); what tasks get of them is
-bounded, ``BITMAP_BITS`` bits telling which shingles may occur twice and the
-``MOST_FREQUENT`` shingles of the highest counts.  Both only order and prune:
-without them results are the same.  Hot regions are aggregated before they
-are shuffled, equal sets count once, and no stage emits all pairs of a group.
-Sets are rebuilt only for documents that share a region.
-
-Shingles and sets are known by 64-bit hashes.
+   joined again with new pivots as long as pivots part them; small ones, and
+   those that shrink no more, by comparing the pairs left.  Before sets are
+   compared, their sketches are: parities in 1024 cells, a projection that
+   never lengthens the distance |x| + |y| - 2 |x and y|, which must be at most a
+   ninth of |x| + |y|.
+
+Counting: shingles whose hash lies in the lower ``COUNTED`` eighths are counted
+exactly, over all documents.  A batch of documents sends them, packed, to
+buckets of the hash range; a bucket counts and answers with those that occur
+more than once; the answers meet again by batch, where each document picks its
+regions.  Texts are shingled once for this, nothing is broadcast or collected,
+and buckets grow in number, not in size.  A shingle that several documents of a
+batch share is sent once, with its count, so that one in a third of all
+documents stays a few bytes a batch.
+
+Hot regions: members and pivots are settled tables of their own, so that a
+skewed join between them splits; equal sets count once, and no stage emits all
+pairs of a group.  Sets are rebuilt only for documents that share a region.
+
+Shingles are known by 64-bit hashes, sets by two: where sets with the same
+first hash differ in the second, all is done again with other hashes.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing
 and are their own component; texts of fewer words than a shingle are one
@@ -43,42 +51,44 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, shards_for, slices, texts
+from .common import as_struct, filter_words, parted, settled, shards_for, slices, texts
 
 WORDS = 5
 #: Links need ``100 * intersection >= PERCENT * union``.
 PERCENT = 80
-BITMAP_BITS = 25
-MOST_FREQUENT = 1 << 18
-FREQUENT_FROM = 4
-BUCKET_ROWS = 8192
+#: Eighths of the hash range that are counted: enough to hold a fifth of almost
+#: any document's shingles; what it lacks comes from the rest of the range.
+COUNTED = 3
+LIMIT = np.uint64(COUNTED << 61)
+BUCKET_ROWS = 4096
+#: A shingle of so many documents of a batch is sent once.
+OFTEN = 4
 #: Longs of a set's sketch: the parity of its shingles in each of 64 times as
 #: many cells.  Sketches differ in no more bits than sets in elements.
 SKETCH = 16
 SMALL_REGION = 32
-MOST_ROUNDS = 1
+#: A region is joined again if pivots leave no more than this share of it open.
+SHRINKS = 0.75
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
-HALF = np.uint64(1 << 63)
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
+def shingles(text: str, words: int = WORDS, seed: int = 0) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles.  ``bytes`` lower and
     split just as the contract says: A-Z, and blanks 9-13 and 32."""
     found = text.encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
     if len(found) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], dtype=np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found) + (seed << 8))], dtype=np.uint64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in found) if seed else map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     n = len(h) - words + 1
     g = h[:n].copy()
     for k in range(1, words):
@@ -90,6 +100,11 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return g[np.concatenate([[True], g[1:] != g[:-1]])]
 
 
+def first_shingles(n: np.ndarray) -> np.ndarray:
+    """How many of ``n`` shingles hold one of every partner's first ones."""
+    return np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+
+
 def sketch(g: np.ndarray) -> np.ndarray:
     cells = np.bincount((g & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
     return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
@@ -101,145 +116,155 @@ def close(x: str, y: str) -> str:
     return f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n) AND {100 + PERCENT} * ({differ}) <= {100 - PERCENT} * ({x}.n + {y}.n)"
 
 
-def set_id(g: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63)
-
-
-class Counts:
-    """What tasks know of the counts: a bitmap over the lower half of the hash
-    range, and the most frequent shingles with the logarithm of their count."""
+def set_id(g: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(g.tobytes(), seed=seed) - (1 << 63)
 
-    def __init__(self, bits: np.ndarray, keys: np.ndarray, levels: np.ndarray):
-        self.bits, self.keys, self.levels = bits, keys, levels
 
-    def level(self, g: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """0 for shingles of one document, 1 for rare and 2 for unknown ones,
-        then by count."""
-        out = np.where(g >= HALF, np.uint8(2), np.where(single, np.uint8(0), np.uint8(1)))
-        if len(self.keys):
-            i = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-            hit = self.keys[i] == g
-            out[hit] = self.levels[i[hit]] + np.uint8(1)
-        return out
-
-    def single(self, g: np.ndarray) -> np.ndarray:
-        """Whether a shingle surely occurs in one document alone."""
-        at = np.minimum(g, HALF - np.uint64(1)) >> np.uint64(63 - BITMAP_BITS)
-        bit = self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)
-        return (bit == 0) & (g < HALF)
+def signed(g: np.ndarray) -> np.ndarray:
+    return g.view(np.int64)
 
 
-def count_shingles(docs: DataFrame, rows: int, words: int) -> Counts:
-    """Counts over all documents.  Keys travel packed, six bytes each, by
-    bucket of the hash range; a bucket holds about ``BUCKET_ROWS`` documents'
-    share and gives its slice of the bitmap."""
-    power = min(BITMAP_BITS - 3, max(6, (shards_for(rows, BUCKET_ROWS) - 1).bit_length()))
-    buckets, shift = 1 << power, np.uint64(63 - power)
-    most = max(1, MOST_FREQUENT >> power)
+#: What travels with a batch, packed: its documents' numbers and shares.
+INFO = {"rows": np.int64, "sids": np.int64, "checks": np.int64, "sizes": np.int64, "counted": np.int64, "more": np.uint64, "often_keys": np.uint64, "pair_key": np.uint32, "pair_doc": np.uint32}
+TRAVELS = "bucket long, batch long, keys binary, docs binary, often binary, counts binary, " + ", ".join(f"{c} binary" for c in INFO) + ", ids array<long>"
+ANSWERS = "batch long, seen long, keys binary, docs binary, levels binary, often binary, often_levels binary, " + ", ".join(f"{c} binary" for c in INFO) + ", ids array<long>"
+
+
+def packed(low: np.ndarray) -> np.ndarray:
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def unpacked(raw: list[bytes]) -> np.ndarray:
+    six = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(six), 8), np.uint8)
+    wide[:, :6] = six
+    return wide.view("<u8")[:, 0]
+
+
+def column(name: str, table: pa.Table) -> list:
+    return table.column(name).to_pylist()
+
+
+def batch_rows(ids: pa.Array, rows: np.ndarray, sets: list[np.ndarray], power: int) -> Iterator[dict]:
+    """A batch's counted shingles by bucket, and its documents."""
+    sizes = np.array([len(g) for g in sets], dtype=np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    own = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+    use = flat < LIMIT
+    counted = np.bincount(own[use], minlength=len(sets))
+    first = first_shingles(sizes)
+    # The bucket's bits and 48 more tell shingles apart.
+    key = flat[use] >> np.uint64(16 - power)
+    own = own[use]
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], own[order]
+    known, at, many = np.unique(key, return_inverse=True, return_counts=True)
+    often = many >= OFTEN
+    place = np.cumsum(often) - 1
+    pair = often[at]
+    alone, alone_docs, frequent, counts = key[~pair], own[~pair], known[often], many[often]
+    sids = np.array([set_id(g) for g in sets], dtype=np.int64)
+    checks = np.array([set_id(g, 1) for g in sets], dtype=np.int64)
+    batch = xxhash.xxh3_64_intdigest(rows.tobytes() + sids.tobytes()) - (1 << 63)
+    for bucket in np.unique(np.concatenate([alone, frequent]) >> np.uint64(48)).tolist():
+        (a, b), (c, d) = (np.searchsorted(x, np.array([bucket << 48, (bucket + 1) << 48], np.uint64)) for x in (alone, frequent))
+        yield {"bucket": bucket, "batch": batch, "keys": packed(alone[a:b]).tobytes(), "docs": alone_docs[a:b].tobytes(), "often": packed(frequent[c:d]).tobytes(), "counts": counts[c:d].astype(np.uint32).tobytes()}
+    info = {"rows": rows, "sids": sids, "checks": checks, "sizes": sizes, "counted": counted, "more": np.concatenate([g[c:f] for g, c, f in zip(sets, counted.tolist(), first.tolist(), strict=True)] or [flat]), "often_keys": frequent, "pair_key": place[at[pair]], "pair_doc": own[pair]}
+    yield {"bucket": batch % (1 << power), "batch": batch, "ids": ids.to_pylist()} | {k: v.astype(INFO[k]).tobytes() for k, v in info.items()}
+
+
+def answers(table: pa.Table) -> pa.Table:
+    """A bucket's counts: for each batch its shingles that occur again."""
+    bucket = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)
+    rows = table.select(["batch", "keys", "docs", "often", "counts"]).filter(table.column("keys").is_valid())
+    keys, often = (unpacked(column(c, rows)) | bucket for c in ("keys", "often"))
+    docs, counts = (np.frombuffer(b"".join(column(c, rows)), np.uint32) for c in ("docs", "counts"))
+    known, at = np.unique(np.concatenate([keys, often]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([np.ones(len(keys)), counts]), len(known))
+    level = (np.minimum(np.log2(np.maximum(total, 1)), 60) + 1).astype(np.uint8)
+    again, levels, often_levels = (total > 1)[at[: len(keys)]], level[at[: len(keys)]], level[at[len(keys) :]]
+    out: dict[str, list] = {c.split()[0]: [] for c in ANSWERS.split(", ")}
+    a = c = 0
+    for batch, own, frequent in zip(column("batch", rows), column("docs", rows), column("counts", rows), strict=True):
+        b, d = a + len(own) // 4, c + len(frequent) // 4
+        hit = again[a:b]
+        row = (batch, b - a + int(counts[c:d].sum()), keys[a:b][hit].tobytes(), docs[a:b][hit].tobytes(), levels[a:b][hit].tobytes(), often[c:d].tobytes(), often_levels[c:d].tobytes(), *[None] * (len(INFO) + 1))
+        for values, value in zip(out.values(), row, strict=True):
+            values.append(value)
+        a, c = b, d
+    info = table.filter(table.column("rows").is_valid())
+    for name, values in out.items():
+        values += column(name, info) if name in ("batch", "ids", *INFO) else [0 if name == "seen" else None] * len(info)
+    return pa.table({c: pa.array(out[c], t) for c, t in zip(out, arrow_types(ANSWERS), strict=True)})
+
+
+def arrow_types(schema: str) -> list[pa.DataType]:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return [kinds[c.split()[1]] for c in schema.split(", ")]
+
+
+PICKED = "doc_id long, row long, sid long, check long, n long, level double, regions array<long>"
+
+
+def picked(table: pa.Table) -> pa.Table:
+    """The regions of a batch's documents."""
+    (info,) = table.filter(table.column("rows").is_valid()).to_pylist()
+    rows, sids, checks, sizes, counted, more, often_keys, pair_key, pair_doc = (np.frombuffer(info[k], kind) for k, kind in INFO.items())
+    got = table.filter(table.column("rows").is_null())
+    if sum(column("seen", got)) != counted.sum():
+        raise RuntimeError("a batch came back incomplete")
+    key, doc, level = (np.frombuffer(b"".join(column(c, got)), kind) for c, kind in (("keys", np.uint64), ("docs", np.uint32), ("levels", np.uint8)))
+    often, often_levels = (np.frombuffer(b"".join(column(c, got)), kind) for c, kind in (("often", np.uint64), ("often_levels", np.uint8)))
+    of = often_levels[np.argsort(often)]  # often_keys are sorted
+    key, doc, level = np.concatenate([key, often_keys[pair_key]]), np.concatenate([doc, pair_doc]), np.concatenate([level, of[pair_key]])
+    held = np.bincount(doc, minlength=len(rows))
+    first = first_shingles(sizes)
+    need = np.maximum(0, first - (counted - held))  # shingles of this document alone come first
+    order = np.lexsort((key, level, doc))
+    key, doc, ends = key[order], doc[order], np.cumsum(held)
+    take = np.arange(len(key)) - (ends - held)[doc] < need[doc]
+    extra = np.maximum(0, first - counted)
+    parts = np.concatenate([key[take], more])
+    owner = np.concatenate([doc[take], np.repeat(np.arange(len(rows), dtype=np.uint32), extra)])
+    parts, each = parts[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(rows))
+    regions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(signed(parts), pa.int64()))
+    full = sizes > 0
+    mean = np.bincount(doc, level[order], len(rows)) / np.maximum(counted, 1) if len(doc) else np.zeros(len(rows))
+    values = (info["ids"], rows, pa.array(sids, mask=~full), pa.array(checks, mask=~full), sizes, mean, regions)
+    return pa.table({c: v if isinstance(v, pa.Array) else pa.array(v, t) for (c, t), v in zip(zip([c.split()[0] for c in PICKED.split(", ")], arrow_types(PICKED), strict=True), values, strict=True)})
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and ``row``, which tells rows of one id apart."""
+    return texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def document_regions(docs: DataFrame, rows: int, words: int, seed: int) -> DataFrame:
+    """PICKED for each document; ``sid`` null for documents without shingles."""
+    power = min(16, max(6, (shards_for(rows, BUCKET_ROWS) * 8 // COUNTED).bit_length()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            g = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            g = np.sort(g[g < HALF])
-            cuts = np.searchsorted(g, np.arange(buckets, dtype=np.uint64) << shift).tolist() + [len(g)]
-            # 48 bits below the bucket's own are kept.
-            low = (g << np.uint64(power + 1)) >> np.uint64(16)
-            packed = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "keys": pa.array([packed[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
-
-    def count(g: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(g["bucket"].iloc[0])
-        raw = np.frombuffer(b"".join(g["keys"]), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        keys, n = np.unique(wide.view("<u8")[:, 0], return_counts=True)
-        twice = keys[n > 1] >> np.uint64(48 - (BITMAP_BITS - power))
-        slot = np.zeros(1 << (BITMAP_BITS - power), np.uint8)
-        slot[twice.astype(np.int64)] = 1
-        often = np.flatnonzero(n >= FREQUENT_FROM)
-        often = often[np.argsort(-n[often], kind="stable")[:most]]
-        return pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(slot, bitorder="little").tobytes()], "keys": [keys[often].tobytes()], "levels": [np.minimum(np.log2(n[often]), 60).astype(np.uint8).tobytes()]})
-
-    packed = texts(docs).select("text").mapInArrow(emit, "bucket int, keys binary")
-    found = packed.groupBy("bucket").applyInPandas(count, "bucket int, bits binary, keys binary, levels binary").collect()
-    size = (1 << (BITMAP_BITS - power)) // 8
-    bits = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    frequent, levels = [], []
-    for r in found:
-        bits[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-        frequent.append(np.frombuffer(r["keys"], "<u8") | np.uint64(r["bucket"]) << np.uint64(48))
-        levels.append(np.frombuffer(r["levels"], np.uint8))
-    if not frequent:
-        return Counts(bits, np.zeros(0, np.uint64), np.zeros(0, np.uint8))
-    keys, level = np.concatenate(frequent), np.concatenate(levels)
-    order = np.argsort(keys)
-    return Counts(bits, keys[order], level[order])
-
-
-class Prefixes:
-    """A document's regions."""
-
-    def __init__(self, counts: Counts, power: int):
-        self.counts, self.power = counts, power
-
-    def of(self, g: np.ndarray) -> tuple[np.ndarray, float]:
-        """The regions' shingles and the mean level of all shingles."""
-        kept = self.kept(g)
-        single = self.counts.single(g)
-        level = self.counts.level(np.where(g < HALF, kept, g), single)
-        n = len(g)
-        first = n - (PERCENT * n + 99) // 100 + 1
-        order = np.lexsort((g, level))[:first]
-        return g[order][~single[order]], float(level.mean())
-
-    def kept(self, g: np.ndarray) -> np.ndarray:
-        """Lower-half hashes as ``Counts`` knows them: bucket, then 48 bits."""
-        bucket = g >> np.uint64(63 - self.power)
-        return bucket << np.uint64(48) | (g << np.uint64(self.power + 1)) >> np.uint64(16)
+            sets = [shingles(t, words, seed) for t in batch.column("text").to_pylist()]
+            made = list(batch_rows(batch.column("doc_id"), batch.column("row").to_numpy(), sets, power))
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c.split()[0]) for r in made], t) for c, t in zip(TRAVELS.split(", "), arrow_types(TRAVELS), strict=True)], names=[c.split()[0] for c in TRAVELS.split(", ")])
 
-
-def signed(g: np.ndarray) -> np.ndarray:
-    return g.view(np.int64)
+    return identified(docs).mapInArrow(emit, TRAVELS).groupBy("bucket").applyInArrow(answers, ANSWERS).groupBy("batch").applyInArrow(picked, PICKED)
 
 
-def document_regions(docs: DataFrame, counted: Broadcast, rows: int, words: int) -> DataFrame:
-    """``doc_id, sid, n, level, regions`` for each document; ``sid`` null for
-    documents without shingles."""
-    power = min(BITMAP_BITS - 3, max(6, (shards_for(rows, BUCKET_ROWS) - 1).bit_length()))
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = Prefixes(counted.value, power)
-        for batch in slices(batches):
-            ids, sizes, levels, regions = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                g = shingles(text, words)
-                if len(g):
-                    keys, level = prefixes.of(g)
-                else:
-                    keys, level = g, 0.0
-                ids.append(set_id(g) if len(g) else None)
-                sizes.append(len(g))
-                levels.append(level)
-                regions.append(signed(keys))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sid": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "level": pa.array(levels, pa.float64()), "regions": pa.array(regions, pa.list_(pa.int64()))})
-
-    return texts(docs).mapInArrow(run, "doc_id long, sid long, n long, level double, regions array<long>")
-
-
-def sets_of(docs: DataFrame, known: DataFrame, words: int) -> DataFrame:
+def sets_of(docs: DataFrame, known: DataFrame, words: int, seed: int) -> DataFrame:
     """``sid, items, n`` and the sketch ``k0 ..`` for the sets named in
-    ``known`` (``sid, doc_id``: one document that has it)."""
+    ``known`` (``sid, row``: one row that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, words, seed) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"sid": pa.array([set_id(g) if len(g) else None for g in sets], pa.int64()), "items": pa.array([signed(g) for g in sets], pa.list_(pa.int64())), "n": pa.array([len(g) for g in sets], pa.int64())} | dict(zip(bits, map(pa.array, np.stack([sketch(g) for g in sets]).T), strict=True)))
 
     bits = [f"k{i}" for i in range(SKETCH)]
-    wanted = known.select(F.col("doc_id").alias("__doc")).distinct()
-    rows = texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi").select("text")
-    return rows.mapInArrow(run, "sid long, items array<long>, n long, " + ", ".join(f"{b} long" for b in bits)).filter("sid IS NOT NULL").join(known.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+    maybe = parted(identified(docs).select("row", "text"), "row", filter_words(known, "row"))[1]
+    rows = maybe.join(known.select("row"), "row", "left_semi").select("text")
+    return rows.mapInArrow(run, "sid long, items array<long>, n long, " + ", ".join(f"{b} long" for b in bits)).join(known.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -262,7 +287,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Settled, so that the join with a hub's many neighbours can be split.
+        least = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -273,19 +299,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def region_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (``a, b``) that connect what is connected.  ``cells``: region
-    ``key, sid, n, level``, each set once a region."""
+def regions_of(cells: DataFrame) -> DataFrame:
+    """``cells`` (region ``key, sid, n, level``) of regions with several sets,
+    with the region's size ``was`` and two pivots."""
+    pivots = settled(cells.groupBy("key").agg(F.count(F.lit(1)).alias("was"), F.max_by("sid", "level").alias("p1"), F.min("sid").alias("p2")).filter("was > 1"))
+    return settled(cells.join(pivots, "key"))
+
+
+def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (``a, b``) that connect what is connected."""
     tested = None
     links = None
-    left = cells
-    for turn in range(MOST_ROUNDS + 1):
-        pivots = left.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max_by("sid", "level").alias("p1"), F.min("sid").alias("p2")).filter("m > 1")
-        regions = settled(left.join(pivots, "key"))
-        stars = regions.select(F.col("sid").alias("a"), F.explode(F.array("p1", "p2")).alias("b"), "n").filter("a <> b").groupBy("a", "b").agg(F.first("n").alias("n"))
+    while True:
+        stars = regions.select(F.col("sid").alias("a"), F.explode(F.array("p1", "p2")).alias("b")).filter("a <> b").distinct()
         if tested is not None:
             stars = stars.join(tested, ["a", "b"], "left_anti")
-        known = settled(compared(stars.select("a", "b"), sets))
+        known = settled(compared(stars, sets))
         tested = known if tested is None else tested.unionByName(known)
         linked = known.filter("linked").select("a", "b")
         links = linked if links is None else links.unionByName(linked)
@@ -295,45 +324,52 @@ def region_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
             open_ = open_.join(found, [x, y], "left")
         # Members in one ball are one component; so are two balls whose pivots link.
         ball = F.when(F.col("l1"), F.col("p1")).when(F.col("l2") & F.coalesce("l12", F.lit(False)), F.col("p1")).when(F.col("l2"), F.col("p2")).otherwise(F.col("sid"))
-        open_ = open_.filter("sid <> p1 AND sid <> p2").select("key", "sid", "n", "level", "d1", "d2", ball.alias("root"))
-        several = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "m")
+        open_ = settled(open_.filter("sid <> p1 AND sid <> p2").select("key", "sid", "n", "level", "was", "d1", "d2", ball.alias("root")))
+        several = settled(open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "m"))
         open_ = settled(open_.join(several, "key"))
-        last = turn == MOST_ROUNDS
-        small = open_ if last else open_.filter(F.col("m") <= SMALL_REGION)
-        small = small.select("key", "sid", "root", "d1", "d2").join(sets.drop("items"), "sid")
+        again = (F.col("m") > SMALL_REGION) & (F.col("m") <= SHRINKS * F.col("was"))
+        small = open_.filter(~again).select("key", "sid", "root", "d1", "d2").join(sets.drop("items"), "sid")
         # Sizes within the bound are of one scale or of neighbouring ones.
         small = small.withColumn("own", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
         x, y = small.withColumn("scale", F.explode(F.array(F.col("own"), F.col("own") + 1))).alias("x"), small.alias("y")
         window = " AND ".join(f"coalesce(abs(x.d{p} - y.d{p}) <= {1 - PERCENT / 100 + 1e-9}, true)" for p in ("1", "2"))
         pairs = x.join(y, F.expr(f"x.key = y.key AND x.scale = y.own AND (x.own < y.own OR x.sid < y.sid) AND x.root <> y.root AND {close('x', 'y')} AND {window}")).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
         links = links.unionByName(compared(pairs, sets).filter("linked").select("a", "b"))
-        left = open_.filter(F.col("m") > SMALL_REGION).select("key", "sid", "n", "level")
-        if last or left.isEmpty():
+        left = open_.filter(again).select("key", "sid", "n", "level")
+        if left.isEmpty():
             return links
-        links = settled(links)
-    raise AssertionError("unreachable")
+        links, regions = settled(links), regions_of(left)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each document."""
+def labelled(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, row, n, component_id`` for each document."""
     rows = docs.count()
-    counted = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, rows, words))
-    found = settled(document_regions(docs, counted, rows, words))
-    counted.destroy()  # what follows reads the settled rows
-    cells = found.filter("sid IS NOT NULL").select("sid", "n", "level", F.explode("regions").alias("key")).groupBy("key", "sid").agg(F.max("n").alias("n"), F.max("level").alias("level"))
-    met = cells.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    cells = settled(cells.join(met, "key", "left_semi"))
-    active = cells.select("sid").distinct()
-    known = settled(found.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    sets = settled(sets_of(docs, known, words))
-    labels = components(region_links(cells, sets))
+    for seed in count():
+        found = settled(document_regions(docs, rows, words, seed))
+        if found.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").isEmpty():
+            break
+    cells = settled(found.filter("sid IS NOT NULL").select("sid", "n", "level", F.explode("regions").alias("key")).groupBy("key", "sid").agg(F.max("n").alias("n"), F.max("level").alias("level")))
+    regions = regions_of(cells)
+    active = settled(regions.select("sid").distinct())
+    known = settled(found.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row")))
+    sets = settled(sets_of(docs, known, words, seed))
+    labels = settled(components(region_links(regions, sets)))
     # Equal sets are one node; a component's name is its smallest document.
-    rooted = found.join(labels, found["sid"] == labels["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
-    names = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rooted = settled(found.join(labels, found["sid"] == labels["node"], "left").select("doc_id", "row", "n", F.coalesce("root", "sid").alias("root")))
+    names = settled(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return rooted.join(names, "root", "left").select("doc_id", "row", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each document."""
+    return labelled(docs, words).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` that name their component, with their columns."""
-    kept = near_duplicates(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    """The rows of ``docs`` that name their component, with their columns, each
+    judged by its own text.  Only texts that may go are shuffled."""
+    gone = settled(labelled(docs, words).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row").distinct())
+    rows = docs.select(as_struct(docs).alias("all"), "doc_id", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("row"))
+    sure, maybe = parted(rows, "row", filter_words(gone, "row"))
+    stay = maybe.alias("m").join(gone.alias("g"), F.expr("m.row = g.row AND m.doc_id <=> g.doc_id"), "left_anti")
+    return sure.select("all").unionByName(stay.select("all")).select("all.*")
