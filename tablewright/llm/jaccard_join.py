@@ -15,15 +15,19 @@ them.  Two kinds of pivots do:
 2. Inside a region documents are pivots: the one that holds the most frequent
    shingles (the middle of a group of near copies) and one by hash.  All
    members are compared with the pivots, exactly.  Members within 0.2 of a
-   pivot are one component and need no comparison with each other.  What is
-   left, pairs of members not known to be one component, must lie in the window
+   pivot are one component and need no comparison with each other; links join
+   components over all regions, and regions within one component are done.  In
+   the others pairs of members of different components must lie in the window
    that the triangle inequality leaves, ``|d(x,p) - d(y,p)| <= 0.2`` for each
-   pivot, and in the window of sizes.  Regions with many such members are
-   joined again with new pivots as long as pivots part them; small ones, and
-   those that shrink no more, by comparing the pairs left.  Before sets are
-   compared, their sketches are: parities in 1024 cells, a projection that
-   never lengthens the distance |x| + |y| - 2 |x and y|, which must be at most a
-   ninth of |x| + |y|.
+   pivot, and in the window of sizes; of the first pivot's component only those
+   members stay whose window reaches a member of another.  Regions with many
+   members left are joined again, with new pivots from outside that component,
+   and again as long as pivots part them; small ones, and those that shrink no
+   more, by comparing the pairs left.
+   Before sets are compared, their sketches are: parities in 1024 cells, a
+   projection that never lengthens the distance |x| + |y| - 2 |x and y|, which
+   must be at most a ninth of |x| + |y|; where it is more, it bounds the
+   distance from below, which windows use.
 
 Counting: shingles whose hash lies in the lower ``COUNTED`` eighths are counted
 exactly, over all documents.  A batch of documents sends them, packed, to
@@ -75,7 +79,8 @@ OFTEN = 4
 #: many cells.  Sketches differ in no more bits than sets in elements.
 SKETCH = 16
 SMALL_REGION = 32
-#: A region is joined again if pivots leave no more than this share of it open.
+#: A region is joined again for the third time and later if pivots leave no more
+#: than this share of it open.
 SHRINKS = 0.75
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -110,10 +115,14 @@ def sketch(g: np.ndarray) -> np.ndarray:
     return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
 
 
+def differ(x: str, y: str) -> str:
+    """SQL: at least so many elements are in one of two sets alone."""
+    return "(" + " + ".join(f"bit_count({x}.k{i} ^ {y}.k{i})" for i in range(SKETCH)) + ")"
+
+
 def close(x: str, y: str) -> str:
     """SQL: sizes and sketches allow a link."""
-    differ = " + ".join(f"bit_count({x}.k{i} ^ {y}.k{i})" for i in range(SKETCH))
-    return f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n) AND {100 + PERCENT} * ({differ}) <= {100 - PERCENT} * ({x}.n + {y}.n)"
+    return f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n) AND {100 + PERCENT} * {differ(x, y)} <= {100 - PERCENT} * ({x}.n + {y}.n)"
 
 
 def set_id(g: np.ndarray, seed: int = 0) -> int:
@@ -268,15 +277,19 @@ def sets_of(docs: DataFrame, known: DataFrame, words: int, seed: int) -> DataFra
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, distance, linked`` of pairs of sets, exactly; without the pairs
-    whose sizes or sketches exclude a link."""
+    """``a, b, low, distance, linked`` of pairs of sets: the distance and
+    whether they link, exactly; where sizes or sketches exclude a link, the
+    bound on the distance that they give, and 1 for the distance."""
     marks = sets.drop("items")
-    pairs = pairs.join(marks.alias("s"), F.col("a") == F.col("s.sid")).join(marks.alias("t"), F.col("b") == F.col("t.sid")).filter(close("s", "t")).select("a", "b")
+    bound = f"greatest(2D * {differ('s', 't')} / (s.n + t.n + {differ('s', 't')}), 1 - least(s.n, t.n) / greatest(s.n, t.n))"
+    seen = settled(pairs.join(marks.alias("s"), F.col("a") == F.col("s.sid")).join(marks.alias("t"), F.col("b") == F.col("t.sid")).selectExpr("a", "b", f"{bound} AS low", f"{close('s', 't')} AS possible"))
     x, y = sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
+    met = seen.filter("possible").select("a", "b").join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
     union = F.col("total") - F.col("both")
-    return met.select("a", "b", (1 - F.col("both") / union).alias("distance"), (100 * F.col("both").cast("long") >= PERCENT * union.cast("long")).alias("linked"))
+    distance = 1 - F.col("both") / union
+    exact = met.select("a", "b", distance.alias("low"), distance.alias("distance"), (100 * F.col("both").cast("long") >= PERCENT * union.cast("long")).alias("linked"))
+    return exact.unionByName(seen.filter("NOT possible").select("a", "b", "low", F.lit(1.0).alias("distance"), F.lit(False).alias("linked")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -296,49 +309,61 @@ def components(edges: DataFrame) -> DataFrame:
         was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == was:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return settled(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
 def regions_of(cells: DataFrame) -> DataFrame:
-    """``cells`` (region ``key, sid, n, level``) of regions with several sets,
-    with the region's size ``was`` and two pivots."""
-    pivots = settled(cells.groupBy("key").agg(F.count(F.lit(1)).alias("was"), F.max_by("sid", "level").alias("p1"), F.min("sid").alias("p2")).filter("was > 1"))
+    """``cells`` (region ``key, sid, n, level, home``) of regions with several
+    sets, with the region's size ``was`` and two pivots among those not at
+    ``home``, the region's main component."""
+    level, sid = F.when(~F.col("home"), F.col("level")), F.when(~F.col("home"), F.col("sid"))
+    pivots = settled(cells.groupBy("key").agg(F.count(F.lit(1)).alias("was"), F.max_by("sid", level).alias("p1"), F.min(sid).alias("p2")).filter("was > 1"))
     return settled(cells.join(pivots, "key"))
 
 
-def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (``a, b``) that connect what is connected."""
+def joined_regions(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, root`` of sets that link with another: the smallest set that can
+    be reached."""
     tested = None
-    links = None
-    while True:
+    labels = None
+    reach = 1 - PERCENT / 100 + 1e-9
+    for turn in count():
         stars = regions.select(F.col("sid").alias("a"), F.explode(F.array("p1", "p2")).alias("b")).filter("a <> b").distinct()
         if tested is not None:
             stars = stars.join(tested, ["a", "b"], "left_anti")
         known = settled(compared(stars, sets))
         tested = known if tested is None else tested.unionByName(known)
-        linked = known.filter("linked").select("a", "b")
-        links = linked if links is None else links.unionByName(linked)
+        links = known.filter("linked").select("a", "b")
+        labels = components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         open_ = regions
-        for x, y, name in (("sid", "p1", "1"), ("sid", "p2", "2"), ("p1", "p2", "12")):
-            found = tested.select(F.col("a").alias(x), F.col("b").alias(y), F.col("distance").alias(f"d{name}"), F.col("linked").alias(f"l{name}"))
-            open_ = open_.join(found, [x, y], "left")
-        # Members in one ball are one component; so are two balls whose pivots link.
-        ball = F.when(F.col("l1"), F.col("p1")).when(F.col("l2") & F.coalesce("l12", F.lit(False)), F.col("p1")).when(F.col("l2"), F.col("p2")).otherwise(F.col("sid"))
-        open_ = settled(open_.filter("sid <> p1 AND sid <> p2").select("key", "sid", "n", "level", "was", "d1", "d2", ball.alias("root")))
+        for p in ("1", "2"):
+            found = tested.select(F.col("a").alias("sid"), F.col("b").alias(f"p{p}"), F.col("low").alias(f"low{p}"), F.col("distance").alias(f"d{p}"))
+            open_ = open_.join(found, ["sid", f"p{p}"], "left")
+        open_ = open_.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        open_ = settled(open_.select("key", "sid", "n", "level", "home", "was", "p1", "p2", "low1", "d1", "low2", "d2", "root"))
+        main = F.coalesce(F.max(F.when(F.col("home"), F.col("root"))), F.max(F.when(F.col("sid") == F.col("p1"), F.col("root"))))
+        several = settled(open_.groupBy("key").agg(main.alias("main"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "main"))
+        open_ = settled(open_.join(several, "key").withColumn("home", F.col("root") == F.col("main")).filter("sid <> p1 AND sid <> p2"))
+        others = settled(open_.filter("NOT home").groupBy("key").agg(F.min("low1").alias("nearest"), F.max("d1").alias("farthest")))
+        # Pivots are done with; so are members of the main component whose
+        # window reaches none of the others.
+        open_ = settled(open_.join(others, "key").filter((~F.col("home")) | ((F.col("d1") >= F.col("nearest") - reach) & (F.col("low1") <= F.col("farthest") + reach))))
         several = settled(open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "m"))
-        open_ = settled(open_.join(several, "key"))
-        again = (F.col("m") > SMALL_REGION) & (F.col("m") <= SHRINKS * F.col("was"))
-        small = open_.filter(~again).select("key", "sid", "root", "d1", "d2").join(sets.drop("items"), "sid")
+        open_ = settled(open_.select("key", "sid", "n", "level", "was", "home", "low1", "d1", "low2", "d2", "root").join(several, "key"))
+        again = (F.col("m") > SMALL_REGION) & (F.lit(turn == 0) | (F.col("m") <= SHRINKS * F.col("was")))
+        small = open_.filter(~again).select("key", "sid", "root", "low1", "d1", "low2", "d2").join(sets.drop("items"), "sid")
         # Sizes within the bound are of one scale or of neighbouring ones.
         small = small.withColumn("own", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
         x, y = small.withColumn("scale", F.explode(F.array(F.col("own"), F.col("own") + 1))).alias("x"), small.alias("y")
-        window = " AND ".join(f"coalesce(abs(x.d{p} - y.d{p}) <= {1 - PERCENT / 100 + 1e-9}, true)" for p in ("1", "2"))
-        pairs = x.join(y, F.expr(f"x.key = y.key AND x.scale = y.own AND (x.own < y.own OR x.sid < y.sid) AND x.root <> y.root AND {close('x', 'y')} AND {window}")).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-        links = links.unionByName(compared(pairs, sets).filter("linked").select("a", "b"))
-        left = open_.filter(again).select("key", "sid", "n", "level")
+        window = " AND ".join(f"x.low{p} <= y.d{p} + {reach} AND y.low{p} <= x.d{p} + {reach}" for p in ("1", "2"))
+        pairs = x.join(y, F.expr(f"x.key = y.key AND x.scale = y.own AND (x.own < y.own OR x.sid < y.sid) AND x.root <> y.root AND {window} AND {close('x', 'y')}")).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+        met = settled(compared(pairs, sets).filter("linked").select("a", "b"))
+        labels = components(met.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))) if not met.isEmpty() else labels
+        left = open_.filter(again).select("key", "sid", "n", "level", "home")
         if left.isEmpty():
-            return links
-        links, regions = settled(links), regions_of(left)
+            return labels
+        regions = regions_of(left)
+    raise AssertionError("unreachable")
 
 
 def labelled(docs: DataFrame, words: int) -> DataFrame:
@@ -349,11 +374,11 @@ def labelled(docs: DataFrame, words: int) -> DataFrame:
         if found.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").isEmpty():
             break
     cells = settled(found.filter("sid IS NOT NULL").select("sid", "n", "level", F.explode("regions").alias("key")).groupBy("key", "sid").agg(F.max("n").alias("n"), F.max("level").alias("level")))
-    regions = regions_of(cells)
+    regions = regions_of(cells.withColumn("home", F.lit(False)))
     active = settled(regions.select("sid").distinct())
     known = settled(found.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row")))
     sets = settled(sets_of(docs, known, words, seed))
-    labels = settled(components(region_links(regions, sets)))
+    labels = joined_regions(regions, sets)
     # Equal sets are one node; a component's name is its smallest document.
     rooted = settled(found.join(labels, found["sid"] == labels["node"], "left").select("doc_id", "row", "n", F.coalesce("root", "sid").alias("root")))
     names = settled(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")))
