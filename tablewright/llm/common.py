@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,7 +47,8 @@ def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that each slice has at most ``most`` bytes of
-    ``column``, or one row.  This bounds a task's memory where texts are long."""
+    ``column``, or one row.  This bounds a task's memory where texts are long;
+    after the last one what the task has freed goes back to the system."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).to_pylist()
         start = total = 0
@@ -56,6 +59,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             total += n or 0
         if start < len(sizes):
             yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: a worker that lives on through
+    other stages then doesn't keep what one stage needed."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shards_for(rows: int, each: int) -> int:

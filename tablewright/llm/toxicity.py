@@ -39,9 +39,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import give_back, slices, texts
 
-PER_CLASS = 2000
+PER_CLASS = 1400
 BITS = 18
 PURITY = 0.93
 DEVIATIONS = 5.0
@@ -319,6 +319,8 @@ def learn(docs: DataFrame, labels: DataFrame, test: Column) -> Field | None:
         if 0 < toxic.sum() < len(toxic):
             each = np.array([totals.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1)])
             field = fit_field(rows.column("text").combine_chunks(), toxic, each[toxic] / max(each[toxic].mean(), 1e-9))
+            del rows
+            give_back()
             arrays = {"weights": field.weights, "moves": field.moves.ravel(), "scorer": field.scorer}
             yield pa.RecordBatch.from_pydict({"bias": pa.array([float(field.bias)])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()})
 
