@@ -15,12 +15,14 @@ them.  Two kinds of pivots do:
 2. Inside a region documents are pivots: the one that holds the most frequent
    shingles (the middle of a group of near copies) and one by hash.  All
    members are compared with the pivots, exactly.  Members within 0.2 of a
-   pivot are one component and need no comparison with each other.  What is
-   left, pairs of members not known to be one component, must lie in the window
+   pivot are one component and need no comparison with each other; links join
+   components over all regions, and regions within one component are done.  In
+   the others pairs of members of different components must lie in the window
    that the triangle inequality leaves, ``|d(x,p) - d(y,p)| <= 0.2`` for each
-   pivot, and in the window of sizes.  Regions with many such members are
-   joined again with new pivots, and again as long as pivots part them; small
-   ones, and those that shrink no more, by comparing the pairs left.  Before sets are
+   pivot, and in the window of sizes.  Regions with many members left are joined
+   again with new pivots from outside their main component, and again as long
+   as pivots part them; small ones, and those that shrink no more, by comparing
+   the pairs left.  Before sets are
    compared, their sketches are: parities in 1024 cells, a projection that
    never lengthens the distance |x| + |y| - 2 |x and y|, which must be at most a
    ninth of |x| + |y|.
@@ -288,8 +290,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Settled, so that the join with a hub's many neighbours can be split.
-        least = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -297,19 +298,22 @@ def components(edges: DataFrame) -> DataFrame:
         was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == was:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return settled(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
 def regions_of(cells: DataFrame) -> DataFrame:
-    """``cells`` (region ``key, sid, n, level``) of regions with several sets,
-    with the region's size ``was`` and two pivots."""
-    pivots = settled(cells.groupBy("key").agg(F.count(F.lit(1)).alias("was"), F.max_by("sid", "level").alias("p1"), F.min("sid").alias("p2")).filter("was > 1"))
+    """``cells`` (region ``key, sid, n, level, home``) of regions with several
+    sets, with the region's size ``was`` and two pivots among those not at
+    ``home``, the region's main component."""
+    level, sid = F.when(~F.col("home"), F.col("level")), F.when(~F.col("home"), F.col("sid"))
+    pivots = settled(cells.groupBy("key").agg(F.count(F.lit(1)).alias("was"), F.max_by("sid", level).alias("p1"), F.min(sid).alias("p2")).filter("was > 1"))
     return settled(cells.join(pivots, "key"))
 
 
-def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (``a, b``) that connect what is connected."""
-    tested = None
+def joined_regions(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, root`` of sets that link with another: the smallest set that can
+    be reached."""
+    tested = labels = None
     links = None
     for turn in count():
         stars = regions.select(F.col("sid").alias("a"), F.explode(F.array("p1", "p2")).alias("b")).filter("a <> b").distinct()
@@ -318,28 +322,33 @@ def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
         known = settled(compared(stars, sets))
         tested = known if tested is None else tested.unionByName(known)
         linked = known.filter("linked").select("a", "b")
-        links = linked if links is None else links.unionByName(linked)
+        edges = linked if links is None else linked.unionByName(links)
+        # Members that links join over all regions are one component.
+        labels = components(edges if labels is None else edges.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         open_ = regions
-        for x, y, name in (("sid", "p1", "1"), ("sid", "p2", "2"), ("p1", "p2", "12")):
-            found = tested.select(F.col("a").alias(x), F.col("b").alias(y), F.col("distance").alias(f"d{name}"), F.col("linked").alias(f"l{name}"))
-            open_ = open_.join(found, [x, y], "left")
-        # Members in one ball are one component; so are two balls whose pivots link.
-        ball = F.when(F.col("l1"), F.col("p1")).when(F.col("l2") & F.coalesce("l12", F.lit(False)), F.col("p1")).when(F.col("l2"), F.col("p2")).otherwise(F.col("sid"))
-        open_ = settled(open_.filter("sid <> p1 AND sid <> p2").select("key", "sid", "n", "level", "was", "d1", "d2", ball.alias("root")))
-        several = settled(open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "m"))
-        open_ = settled(open_.join(several, "key"))
+        for p in ("1", "2"):
+            found = tested.select(F.col("a").alias("sid"), F.col("b").alias(f"p{p}"), F.col("distance").alias(f"d{p}"))
+            open_ = open_.join(found, ["sid", f"p{p}"], "left")
+        open_ = open_.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        open_ = settled(open_.select("key", "sid", "n", "level", "home", "was", "p1", "p2", "d1", "d2", "root"))
+        main = F.coalesce(F.max(F.when(F.col("home"), F.col("root"))), F.max(F.when(F.col("sid") == F.col("p1"), F.col("root"))))
+        rest = F.when((F.col("sid") != F.col("p1")) & (F.col("sid") != F.col("p2")), F.col("root"))
+        several = settled(open_.groupBy("key").agg(main.alias("main"), F.count(rest).alias("m"), F.min(rest).alias("r1"), F.max(rest).alias("r2")).filter("r1 <> r2").select("key", "main", "m"))
+        # Pivots are done with.
+        open_ = open_.filter("sid <> p1 AND sid <> p2").join(several, "key").withColumn("home", F.col("root") == F.col("main"))
+        open_ = settled(open_.select("key", "sid", "n", "level", "home", "was", "m", "d1", "d2", "root"))
         again = (F.col("m") > SMALL_REGION) & (F.lit(turn == 0) | (F.col("m") <= SHRINKS * F.col("was")))
         small = open_.filter(~again).select("key", "sid", "root", "d1", "d2").join(sets.drop("items"), "sid")
         # Sizes within the bound are of one scale or of neighbouring ones.
         small = small.withColumn("own", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
         x, y = small.withColumn("scale", F.explode(F.array(F.col("own"), F.col("own") + 1))).alias("x"), small.alias("y")
         window = " AND ".join(f"coalesce(abs(x.d{p} - y.d{p}) <= {1 - PERCENT / 100 + 1e-9}, true)" for p in ("1", "2"))
-        pairs = x.join(y, F.expr(f"x.key = y.key AND x.scale = y.own AND (x.own < y.own OR x.sid < y.sid) AND x.root <> y.root AND {close('x', 'y')} AND {window}")).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-        links = links.unionByName(compared(pairs, sets).filter("linked").select("a", "b"))
-        left = open_.filter(again).select("key", "sid", "n", "level")
+        pairs = x.join(y, F.expr(f"x.key = y.key AND x.scale = y.own AND (x.own < y.own OR x.sid < y.sid) AND x.root <> y.root AND {window} AND {close('x', 'y')}")).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+        links = settled(compared(pairs, sets).filter("linked").select("a", "b"))
+        left = open_.filter(again).select("key", "sid", "n", "level", "home")
         if left.isEmpty():
-            return links
-        links, regions = settled(links), regions_of(left)
+            return components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        regions = regions_of(left)
     raise AssertionError("unreachable")
 
 
@@ -351,11 +360,11 @@ def labelled(docs: DataFrame, words: int) -> DataFrame:
         if found.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").isEmpty():
             break
     cells = settled(found.filter("sid IS NOT NULL").select("sid", "n", "level", F.explode("regions").alias("key")).groupBy("key", "sid").agg(F.max("n").alias("n"), F.max("level").alias("level")))
-    regions = regions_of(cells)
+    regions = regions_of(cells.withColumn("home", F.lit(False)))
     active = settled(regions.select("sid").distinct())
     known = settled(found.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row")))
     sets = settled(sets_of(docs, known, words, seed))
-    labels = settled(components(region_links(regions, sets)))
+    labels = joined_regions(regions, sets)
     # Equal sets are one node; a component's name is its smallest document.
     rooted = settled(found.join(labels, found["sid"] == labels["node"], "left").select("doc_id", "row", "n", F.coalesce("root", "sid").alias("root")))
     names = settled(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")))
