@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import suppress
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,9 +38,23 @@ def settled(df: DataFrame) -> DataFrame:
     # A checkpoint keeps the partitioning that its plan promised; where adaptive
     # execution coalesced it, a union that relies on the promise fails.
     df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    if next(SETTLED) % CLEAN_EVERY == 0:
+        clean(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Spark removes the shuffles and checkpoints of tables that nobody refers to
+#: when the driver happens to collect its garbage.  Where many small tables
+#: follow each other that is made to happen after so many of them.
+CLEAN_EVERY = 6
+SETTLED = count(1)
+
+
+def clean(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) alone: other columns, whatever
     their names, never reach an operator."""
