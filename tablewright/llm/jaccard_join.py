@@ -77,6 +77,8 @@ OFTEN = 4
 #: many cells.  Sketches differ in no more bits than sets in elements.
 SKETCH = 16
 SMALL_REGION = 32
+#: Links in a partition, where components are sought.
+EDGES = 20_000
 #: A region is joined a third time, and so on, only if pivots leave no more than
 #: this share of it open.
 SHRINKS = 0.75
@@ -287,6 +289,8 @@ def components(edges: DataFrame) -> DataFrame:
     reachable.  Rounds of two steps that hang a node's larger and smaller
     neighbours on the smallest; no node's neighbours are collected."""
     now = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    parts = shards_for(now.count(), EDGES)  # few edges need few files
+    now = now.coalesce(parts)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -294,7 +298,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        now = settled(small)
+        now = settled(small.coalesce(parts))
         was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == was:
             break
