@@ -303,58 +303,6 @@ def test_small_regions_again(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
-def test_regions_against_brute_force():
-    """Counting by batch and bucket gives each document its rarest shingles;
-    shingles of one document give no region."""
-    import pyarrow as pa
-
-    rng = np.random.default_rng(3)
-    pool = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
-    common = np.sort(pool[:30])
-    sets = []
-    for i in range(150):
-        own = rng.choice(pool, rng.integers(0, 80))
-        sets.append(np.unique(np.concatenate([own, common]) if i % 3 == 0 else own))
-    sets += [sets[5], sets[7], pool[:1], np.zeros(0, np.uint64)]
-    power, made = 6, []
-    for a in range(0, len(sets), 60):
-        part = sets[a : a + 60]
-        made += list(jaccard_join.batch_rows(pa.array([None, *range(a + 1, a + len(part))], pa.int64()), np.arange(a, a + len(part)), part, power))
-    names = [c.split()[0] for c in jaccard_join.TRAVELS.split(", ")]
-    table_of = lambda rows: pa.table({c: pa.array([r.get(c) for r in rows], t) for c, t in zip(names, jaccard_join.arrow_types(jaccard_join.TRAVELS), strict=True)})
-    by_bucket = {}
-    for r in made:
-        by_bucket.setdefault(r["bucket"], []).append(r)
-    back = pa.concat_tables([jaccard_join.answers(table_of(rows)) for rows in by_bucket.values()])
-    got = {}
-    for batch in set(back.column("batch").to_pylist()):
-        for r in jaccard_join.picked(back.filter(pa.compute.equal(back.column("batch"), batch))).to_pylist():
-            got[r["row"]] = r
-    key = lambda g: int(g) >> (16 - power) if g < jaccard_join.LIMIT else int(g)
-    counts = {}
-    for g in sets:
-        for x in g:
-            counts[key(x)] = counts.get(key(x), 0) + 1
-    for i, g in enumerate(sets):
-        def rank(x):
-            n = counts[key(x)]
-            return (2, 0, int(x)) if x >= jaccard_join.LIMIT else (0, 0, 0) if n == 1 else (1, int(np.log2(n)), key(x))
-
-        order = sorted(g, key=rank)[: int(jaccard_join.first_shingles(np.array([len(g)]))[0])]
-        want = [x for x in order if rank(x)[0]]
-        assert sorted(x % (1 << 64) for x in got[i]["regions"]) == sorted(key(x) for x in want)
-        assert got[i]["n"] == len(g) and (got[i]["sid"] is None) == (not len(g)) and got[i]["doc_id"] == (None if i % 60 == 0 else i)
-
-
-def test_one_of_each_by_row(spark):
-    """Rows of one doc_id are judged by their own texts; clashing columns stay."""
-    long = " ".join(f"w{i}" for i in range(30))
-    rows = [(1, long, 1), (5, long + " x", 2), (5, "other text of its own here", 3), (None, long, 4), (None, "a b c d e f g", 5), (7, None, 6), (8, "", 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").withColumns({"all": F.lit("z"), "word": F.lit(1)})
-    kept = jaccard_join.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r["row"] for r in kept.collect()) == [1, 3, 5, 6, 7]
-
-
 def test_sketch_bounds_distance():
     rng = np.random.default_rng(0)
     for _ in range(50):
