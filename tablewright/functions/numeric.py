@@ -63,5 +63,7 @@ def format_number(s: pd.Series) -> pd.Series:
 
 def exact_sum(x: Column) -> Column:
     """A sum that doesn't depend on the rows' order: in decimals, and in
-    doubles where those overflow."""
-    return F.coalesce(F.try_sum(x.try_cast("decimal(28,10)")).cast("double"), F.sum(x))
+    doubles where a number or the sum is too large for those, or not finite."""
+    decimal = x.try_cast("decimal(28,10)")
+    fits = F.count(decimal) == F.count(x)
+    return F.coalesce(F.when(fits, F.try_sum(decimal).cast("double")), F.sum(x))

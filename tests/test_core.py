@@ -219,3 +219,13 @@ def test_triples(spark):
     assert say("<s><triplet> A b <subj> C <obj> r s <subj> D <obj> q</s>") == [("A b", "r s", "C"), ("A b", "q", "D")]
     assert say("<triplet> A <subj> C <obj> r <subj> D") == [("A", "r", "C"), ("A", "r", "D")]
     assert say("<triplet> A <subj> C") == [] and say("") == []
+
+
+def test_exact_sum_of_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from tablewright.functions import numeric
+
+    rows = [(1, 1e20), (1, 1.0), (2, 0.1), (2, 0.2), (2, None), (3, None), (4, float("inf")), (4, 1.0)]
+    df = spark.createDataFrame(rows, "k int, x double").groupBy("k").agg(numeric.exact_sum(F.col("x")).alias("s"))
+    assert {r["k"]: r["s"] for r in df.collect()} == {1: 1e20, 2: 0.3, 3: None, 4: float("inf")}
