@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_float
-from ..functions.text import clean_text, column_name, linearize_row
+from ..functions.text import MISSING, clean_text, column_name, linearize_row, padded_cell
 
 
 @dataclass(frozen=True)
@@ -54,20 +54,29 @@ def cells_of(tables: DataFrame) -> DataFrame:
 
 def ranked(cells: DataFrame) -> DataFrame:
     """Adds ``number`` and ``rank``: dense, from 0, null unless the whole
-    column parses."""
+    column parses.  A row that ends before the column counts as ``none``, which
+    doesn't parse (rows without any cell after a table's last one are unknown).
+    Both windows are served by one shuffle on ``table_id``."""
     column = Window.partitionBy("table_id", "column_index")
-    numbers = cells.withColumn("number", to_float(F.col("text")))
-    whole = F.count("number").over(column) == F.count(F.lit(1)).over(column)
-    return numbers.withColumn("rank", F.when(whole, F.dense_rank().over(column.orderBy("number")) - 1))
+    last = F.max("row_index").over(Window.partitionBy("table_id"))
+    numbers = cells.withColumn("number", to_float(F.col("text"))).withColumn("__last", last)
+    whole = F.count("number").over(column) == F.col("__last") + 1
+    return numbers.withColumn("rank", F.when(whole, F.dense_rank().over(column.orderBy("number")) - 1)).drop("__last")
 
 
 def column_types(cells: DataFrame) -> DataFrame:
     """``table_id, column_index, header, column_type, is_grouped``: NUMBER if
-    all values parse, else TEXT, grouped if a TEXT value repeats.  Columns that
-    the first row lacks have no type."""
-    typed = cells.withColumn("number", to_float(F.col("text"))).groupBy("table_id", "column_index").agg(F.first("header").alias("header"), F.count(F.lit(1)).alias("n"), F.count("number").alias("parsed"), F.countDistinct("text").alias("different"), F.min("row_index").alias("first_row"))
-    kind = F.when(F.col("first_row") > 0, F.lit(None)).when(F.col("parsed") == F.col("n"), F.lit("NUMBER")).otherwise(F.lit("TEXT"))
-    return typed.withColumn("column_type", kind).select("table_id", "column_index", "header", "column_type", F.coalesce((F.col("column_type") == "TEXT") & (F.col("different") < F.col("n")), F.lit(False)).alias("is_grouped"))
+    all values parse, else TEXT, grouped if a TEXT value repeats.  A row that
+    ends before the column has ``none`` there.  Columns that the first row
+    lacks have no type."""
+    typed = cells.withColumn("number", to_float(F.col("text"))).groupBy("table_id", "column_index").agg(
+        F.first("header").alias("header"), F.count(F.lit(1)).alias("n"), F.count("number").alias("parsed"), F.countDistinct("text").alias("different"),
+        F.max((F.col("text") == MISSING).cast("int")).alias("empty"), F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"),
+    )
+    sized = typed.withColumn("rows", F.max("last_row").over(Window.partitionBy("table_id")) + 1)
+    kind = F.when(F.col("first_row") > 0, F.lit(None)).when(F.col("parsed") == F.col("rows"), F.lit("NUMBER")).otherwise(F.lit("TEXT"))
+    values = F.col("different") + F.when((F.col("n") < F.col("rows")) & (F.coalesce("empty", F.lit(0)) == 0), 1).otherwise(0)
+    return sized.withColumn("column_type", kind).select("table_id", "column_index", "header", "column_type", F.coalesce((F.col("column_type") == "TEXT") & (values < F.col("rows")), F.lit(False)).alias("is_grouped"))
 
 
 def is_valid_grid(grid: Column, config: TableConfig = TableConfig(), vocabulary: list[str] | None = None) -> Column:
@@ -106,11 +115,14 @@ def grids(cells: DataFrame) -> DataFrame:
 
 
 def wide(cells: DataFrame, columns: list[str]) -> DataFrame:
-    """Cells as rows with the named columns, for queries over them."""
-    picks = [F.max(F.when(F.col("header") == c, F.col("text"))).alias(c) for c in columns]
-    return cells.filter(F.col("header").isin(columns)).groupBy("table_id", "row_index").agg(*picks)
+    """Cells as rows with the named columns, for queries over them; a row that
+    ends before a column has ``none`` there."""
+    picks = [F.coalesce(F.max(F.when(F.col("header") == c, F.col("text"))), F.lit(MISSING)).alias(c) for c in columns]
+    return cells.groupBy("table_id", "row_index").agg(*picks)
 
 
 def cell_at(grid: Column, row: Column, column: Column) -> Column:
-    """A grid's cell; row 0 is the header."""
-    return F.get(F.get(grid, row), column)
+    """A grid's cell; row 0 is the header.  Beyond the end of a body row it is
+    ``none``; rows that the grid lacks have no cells."""
+    there = F.get(grid, row)
+    return F.when((row > 0) & there.isNotNull(), padded_cell(there, column)).otherwise(F.get(there, column))

@@ -131,6 +131,15 @@ def where_strict_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(algebra.evaluate(rows, e)).join(algebra.strict_failures(rows, e), "table_id")
 
 
+@query(f"WITH {ITEMS} SELECT table_id, CASE WHEN bool_or(status = 'O' AND flag = 'R') THEN NULL WHEN count(*) FILTER (WHERE status = 'O' AND q > 5) > 0 THEN CAST(count(*) FILTER (WHERE status = 'O' AND q > 5) AS VARCHAR) END AS answer, bool_or(status = 'O' AND flag = 'R') AS failed FROM items GROUP BY table_id")
+def where_strict_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of numbers and letters: only tables whose compared rows hold a
+    letter lose their answer."""
+    e = Expression(Select("COUNT"), (Where("status", "=", "O"), Where("mixed", ">", "5")))
+    rows = item_rows(spark, sf_dir).withColumn("mixed", F.when(F.col("flag") == "R", F.col("flag")).otherwise(F.col("quantity")))
+    return answers(algebra.evaluate(rows, e)).join(algebra.strict_failures(rows, e), "table_id")
+
+
 @query(f"WITH {ITEMS} SELECT table_id, CASE WHEN count(*) FILTER (WHERE q > 10 AND flag = 'N') > 0 THEN CAST(count(*) FILTER (WHERE q > 10 AND flag = 'N') AS VARCHAR) END AS answer FROM items GROUP BY table_id")
 def where_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Expression(Select("COUNT"), (Where("quantity", ">", "10"), Where("flag", "=", "N")))
@@ -286,6 +295,30 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.wide(order_cells(spark, sf_dir), ["price", "status"])
 
 
+#: Every third row of a table ends after its first cell; a cell it lacks counts
+#: as ``none``.
+SHORT = f"{ORDERS}, p AS (SELECT table_id, row_index, column_index, header, column_index > 0 AND row_index % 3 = 2 AS lacks, CASE WHEN column_index > 0 AND row_index % 3 = 2 THEN 'none' ELSE text END AS text FROM cells)"
+
+
+def short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_cells(spark, sf_dir).filter("column_index = 0 OR row_index % 3 <> 2")
+
+
+@query(f"WITH {SHORT}, r AS (SELECT *, CASE WHEN column_index < 2 AND NOT bool_or(lacks) OVER (PARTITION BY table_id, column_index) THEN CAST(dense_rank() OVER (PARTITION BY table_id, column_index ORDER BY TRY_CAST(text AS DOUBLE)) - 1 AS INT) END AS rank FROM p) SELECT table_id, row_index, column_index, rank FROM r WHERE NOT lacks")
+def ragged_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.ranked(short_rows(spark, sf_dir)).select("table_id", "row_index", "column_index", "rank")
+
+
+@query(f"WITH {SHORT}, t AS (SELECT table_id, column_index, header, CASE WHEN column_index < 2 AND NOT bool_or(lacks) THEN 'NUMBER' ELSE 'TEXT' END AS column_type, count(DISTINCT text) < count(*) AS repeats FROM p GROUP BY table_id, column_index, header) SELECT table_id, column_index, header, column_type, column_type = 'TEXT' AND repeats AS is_grouped FROM t")
+def ragged_column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.column_types(short_rows(spark, sf_dir))
+
+
+@query(f"WITH {SHORT} SELECT table_id, row_index, max(text) FILTER (WHERE header = 'price') AS price, max(text) FILTER (WHERE header = 'status') AS status FROM p GROUP BY table_id, row_index")
+def ragged_wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.wide(short_rows(spark, sf_dir), ["price", "status"])
+
+
 # --- SQL templates and synthesis -------------------------------------------
 
 

@@ -110,6 +110,17 @@ def test_tables(spark):
     assert {r["table_id"]: r["grid"] for r in tables.grids(cells).collect()}["t"] == GRID
 
 
+def test_short_rows_count_as_none(spark):
+    grid = [["k", "v", "w", "x"], ["1", "2", "a", "none"], ["2", "3", "b"], ["3"]]
+    cells = tables.cells_of(spark.createDataFrame([("t", grid)], "table_id string, grid array<array<string>>"))
+    kinds = {r["header"]: (r["column_type"], r["is_grouped"]) for r in tables.column_types(cells).collect()}
+    assert kinds == {"k": ("NUMBER", False), "v": ("TEXT", False), "w": ("TEXT", False), "x": ("TEXT", True)}
+    assert {(r["header"], r["rank"]) for r in tables.ranked(cells).collect()} == {("k", 0), ("k", 1), ("k", 2), ("v", None), ("w", None), ("x", None)}
+    at = lambda r, c: tables.cell_at(F.array(*(F.array(*map(F.lit, row)) for row in grid)), F.lit(r), F.lit(c))
+    assert spark.range(1).select(at(3, 2).alias("a"), at(2, 1).alias("b"), at(0, 3).alias("c"), at(9, 0).alias("d")).first() == ("none", "3", "x", None)
+    assert [r["v"] for r in tables.wide(cells, ["v"]).orderBy("row_index").collect()] == ["2", "3", "none"]
+
+
 def test_templates(spark):
     t = templates.Template("SELECT [COLUMN_TEXT_0] FROM W WHERE ID > 1 AND [COLUMN_GROUPED_TEXT_1] = [TEXT] LIMIT [LIMIT_VALUE]")
     assert t.valid and [s.type for s in t.columns] == ["TEXT", "GROUPED_TEXT"] and "ROWID" in t.text
