@@ -46,12 +46,13 @@ def settled(df: DataFrame) -> DataFrame:
 #: Spark removes the shuffles and checkpoints of tables that nobody refers to
 #: when the driver happens to collect its garbage.  Where many small tables
 #: follow each other that is made to happen after so many of them.
-CLEAN_EVERY = 6
+CLEAN_EVERY = 2
 SETTLED = count(1)
 
 
 def clean(spark: SparkSession) -> None:
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
