@@ -53,11 +53,15 @@ def exact_alignments(cells: DataFrame, sents: DataFrame) -> DataFrame:
     return cut.drop("t").join(grams, ["page", "n", "gram"]).select("page", "sent_id", "table_id", "row_index", "column_index", "text", "start", (F.col("start") + F.col("n")).alias("end"))
 
 
-def without_date_clash(alignments: DataFrame, tagged: DataFrame) -> DataFrame:
-    """Drops matches that touch a token tagged DATE; ``tagged``: ``page,
-    sent_id, tags``."""
-    dated = F.exists(F.slice("tags", F.col("start") + 1, F.col("end") - F.col("start")), lambda t: t == "DATE")
-    return alignments.join(tagged.select("page", "sent_id", "tags"), ["page", "sent_id"]).filter(~dated).drop("tags")
+def without_date_clash(alignments: DataFrame, cells: DataFrame, sents: DataFrame, tagger=rule_tags) -> DataFrame:
+    """Drops matches of statistics (``is_stat`` of ``cells``) that touch a token
+    of the sentence tagged DATE; other cells keep theirs."""
+    place = ["page", "table_id", "row_index", "column_index"]
+    dated = sents.select("page", "sent_id", tagger(tokens(F.col("text"))).alias("tags")).filter(F.array_contains("tags", "DATE"))
+    touches = F.exists(F.slice("tags", F.col("start") + 1, F.col("end") - F.col("start")), lambda t: t == "DATE")
+    clash = alignments.join(cells.filter("is_stat").select(*place), place, "left_semi").join(dated, ["page", "sent_id"]).filter(touches)
+    key = [*place, "sent_id", "start", "end"]
+    return alignments.join(clash.select(*key), key, "left_anti")
 
 
 def partial_alignments(cells: DataFrame, sents: DataFrame, exact: DataFrame) -> DataFrame:
@@ -78,10 +82,13 @@ def partial_alignments(cells: DataFrame, sents: DataFrame, exact: DataFrame) ->
     return best.select("page", "sent_id", "table_id", "row_index", "column_index", "text", F.col("b.start").alias("start"), (F.col("b.start") - F.col("b.n")).alias("end"))
 
 
-def aligned(cells: DataFrame, sents: DataFrame) -> DataFrame:
+def aligned(cells: DataFrame, sents: DataFrame, tagger=rule_tags) -> DataFrame:
     """Exact and partial matches of gated rows with ``match_type``; a row's
-    lone match of a year or a single digit is dropped."""
+    lone match of a year or a single digit is dropped.  Where ``cells`` say
+    ``is_stat``, statistics don't match dates exactly, but may partially."""
     exact = exact_alignments(cells, sents)
+    if "is_stat" in cells.columns:
+        exact = without_date_clash(exact, cells, sents, tagger)
     gate = gated_rows(cells, sents)
     both = exact.join(gate, ["page", "sent_id", "table_id", "row_index"], "left_semi").withColumn("match_type", F.lit("EXACT")).unionByName(partial_alignments(cells, sents, exact).withColumn("match_type", F.lit("PARTIAL")))
     row = ["page", "sent_id", "table_id", "row_index"]
@@ -95,6 +102,21 @@ def candidate_sentences(matches: DataFrame) -> DataFrame:
     return matches.groupBy("page", "sent_id").agg(F.bool_or("is_stat").alias("s"), F.countDistinct("text").alias("d")).filter("s OR d >= 2").select("page", "sent_id")
 
 
+def extracted_pairs(cells: DataFrame, sents: DataFrame, tagger=rule_tags) -> DataFrame:
+    """``page, table_id, sent_id, sentence, highlighted``: the candidate
+    sentences of each table with the cells found in them, ``row_index,
+    column_index, text, is_stat, match_type, alignments``.  ``cells`` have
+    ``header`` too.  A record holds one table's cells in one sentence."""
+    marked = annotated(cells, tagger)
+    place = ["page", "table_id", "row_index", "column_index"]
+    found = aligned(marked, sents, tagger).join(marked.select(*place, "is_stat"), place)
+    each = found.groupBy(*place, "sent_id", "text", "is_stat", "match_type").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("alignments"))
+    cell = F.struct("row_index", "column_index", "text", "is_stat", "match_type", "alignments")
+    whole = each.groupBy("page", "table_id", "sent_id").agg(F.array_sort(F.collect_list(cell)).alias("highlighted"))
+    candidate = F.exists("highlighted", lambda h: h["is_stat"]) | (F.size(F.array_distinct("highlighted.text")) >= 2)
+    return whole.filter(candidate).join(sents.select("page", "sent_id", F.col("text").alias("sentence")), ["page", "sent_id"]).select("page", "table_id", "sent_id", "sentence", "highlighted")
+
+
 def unique_alignments(cells: DataFrame, contexts: DataFrame) -> DataFrame:
     """Focus entities: highlighted cells with the character spans of their
     exact mentions.  ``contexts``: ``page, sent_id, text``."""

@@ -481,6 +481,21 @@ def ngram_exact_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.exact_alignments(cells.filter("column_index = 1"), sents).select("page", "sent_id", "row_index", "column_index").distinct()
 
 
+@query(f"WITH {ORDERS} SELECT a.table_id AS page, a.row_index AS sent_id, b.row_index AS row_index FROM o a JOIN o b ON a.table_id = b.table_id AND a.price = b.price WHERE NOT starts_with(a.price, '1') AND NOT contains(a.price, '.1')")
+def date_clash_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices are statistics, three tokens each; those with a token that a
+    tagger takes for a date, here one that starts with 1, don't match."""
+    cells, sents = priced_sentences(spark, sf_dir)
+    marked = align.annotated(cells.filter("header = 'price'"))
+    tagger = lambda found: F.transform(found, lambda t: F.when(t.startswith("1"), F.lit("DATE")).otherwise(F.lit("")))
+    return align.without_date_clash(align.exact_alignments(marked, sents), marked, sents, tagger).select("page", "sent_id", "row_index").distinct()
+
+
+@query()
+def extract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.extracted_pairs(*priced_sentences(spark, sf_dir))
+
+
 @query()
 def partial_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, sents = priced_sentences(spark, sf_dir)

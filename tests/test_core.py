@@ -208,6 +208,19 @@ def test_alignment(spark):
     assert [(s["start"], s["end"]) for s in spans] == [(3, 11)]
 
 
+def test_extracted_pairs(spark):
+    body = [("Won", "2,041"), ("Team", "Reds"), ("Played", "27")]
+    cells = spark.createDataFrame([("p", "t", 0, i, h, v) for i, (h, v) in enumerate(body)], "page string, table_id string, row_index int, column_index int, header string, text string")
+    sents = spark.createDataFrame([("p", 0, "The Reds won 2,041 of them."), ("p", 1, "The Reds lost."), ("p", 2, "On 27 May the Reds came.")], "page string, sent_id int, text string")
+    found = {r["sent_id"]: {(h["column_index"], h["match_type"], h["is_stat"]) for h in r["highlighted"]} for r in align.extracted_pairs(cells, sents).collect()}
+    assert found == {0: {(0, "EXACT", True), (1, "EXACT", False)}, 2: {(1, "EXACT", False), (2, "EXACT", True)}}
+    # a number before a month is a date in its sentence, and a number in its cell
+    dates = lambda found: F.transform(found, lambda t, i: F.when(F.get(found, i + 1) == "May", F.lit("DATE")).when(t.rlike("^[0-9]+$"), F.lit("CARDINAL")).otherwise(F.lit("")))
+    (r,) = align.extracted_pairs(cells, sents, dates).collect()
+    assert r["sent_id"] == 0 and r["sentence"] == "The Reds won 2,041 of them."
+    assert [[(a["start"], a["end"]) for a in h["alignments"]] for h in r["highlighted"]] == [[(3, 6)], [(1, 2)]]
+
+
 def test_rewrite(spark):
     contexts = spark.createDataFrame([("c", "t", "a b c")], "context_id string, table_id string, text string")
     focus = spark.createDataFrame([("c", 0, i, [(2 * i, 2 * i + 1)]) for i in range(3)], "context_id string, row_index int, column_index int, mentions array<struct<start:int,end:int>>")
