@@ -376,8 +376,7 @@ def retrieval_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT page_id, replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "pages")
-    return p.join(pages.page_titles(p), "url").select("page_id", "title").distinct()
+    return pages.page_titles(read(spark, sf_dir, "pages"), "page_id")
 
 
 @query("SELECT url, 'Title' AS title, ['body'] AS body FROM pages")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import numeric, text
 from tablewright.operators import algebra, align, retrieval, rewrite, synthesis, tables, templates, triples
 from tablewright.operators.algebra import Expression, Select, Where
+from tablewright.plans import queries
 from tablewright.sources import html, pages
 
 
@@ -186,6 +187,13 @@ def test_html(spark):
     assert pages.index_documents(pages.page_sentences(p)).filter("id = 'T-0-0-1'").first()["contents"] == "T. Two is here."
 
 
+def test_page_titles_keep_quotes_and_pages_that_share_a_url(spark, tmp_path):
+    made = spark.createDataFrame([(1, "u", "<title>A &amp; &quot;B&quot;</title>"), (2, "u", "<title>C</title>"), (3, None, "<TITLE x>D"), (4, "v", None)], "page_id long, url string, html string")
+    made.write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in queries.page_title(spark, str(tmp_path)).collect())
+    assert got == [(1, "A & &quot;B&quot;"), (2, "C"), (3, ""), (4, None)]
+
+
 def test_tall_row_span():
     rows = "".join(f"<tr><td>{i}</td></tr>" for i in range(1, 2500))
     (t,) = html.tables_of(f'<table class="wikitable"><tr><th>a</th><th>b</th></tr><tr><td rowspan="2500">x</td><td>0</td></tr>{rows}</table>')
