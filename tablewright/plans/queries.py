@@ -468,9 +468,8 @@ def priced_sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 @query(f"WITH {ORDERS} SELECT a.table_id AS page, a.row_index AS sent_id, b.row_index AS row_index, CAST(count(*) AS BIGINT) AS n FROM o a JOIN o b USING (table_id), LATERAL (VALUES (b.number), (b.price), (b.status), (b.priority)) c(t) WHERE contains(concat('Order ', a.number, ' of ', a.status, ' cost ', a.price, ' (', a.priority, ').'), c.t) GROUP BY ALL")
 def row_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, sents = priced_sentences(spark, sf_dir)
-    gate = align.gated_rows(cells, sents)
-    hits = gate.join(cells.select("page", "table_id", "row_index", "text"), ["page", "table_id", "row_index"]).join(sents.withColumnRenamed("text", "said"), ["page", "sent_id"]).filter(F.contains("said", F.col("text")))
-    return hits.groupBy("page", "sent_id", "row_index").agg(F.count(F.lit(1)).alias("n"))
+    hits = F.filter("cells", lambda c: F.contains(F.col("sentence"), c["text"]))
+    return align.gated_rows(cells, sents.withColumnRenamed("text", "sentence")).select("page", "sent_id", "row_index", F.size(hits).cast("bigint").alias("n"))
 
 
 @query(f"WITH {ORDERS} SELECT a.table_id AS page, a.row_index AS sent_id, b.row_index AS row_index, 1 AS column_index FROM o a JOIN o b ON a.table_id = b.table_id AND a.price = b.price")
@@ -487,7 +486,7 @@ def date_clash_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, sents = priced_sentences(spark, sf_dir)
     marked = align.annotated(cells.filter("header = 'price'"))
     tagger = lambda found: F.transform(found, lambda t: F.when(t.startswith("1"), F.lit("DATE")).otherwise(F.lit("")))
-    return align.without_date_clash(align.exact_alignments(marked, sents), marked, sents, tagger).select("page", "sent_id", "row_index").distinct()
+    return align.exact_alignments(marked, sents, tagger).select("page", "sent_id", "row_index").distinct()
 
 
 @query()
@@ -560,7 +559,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sent"))
-    hits = retrieval.bm25(read(spark, sf_dir, "documents"), b).join(d, "doc_id").join(b.withColumnRenamed("text", "original"), "query_id")
+    hits = F.broadcast(retrieval.bm25(read(spark, sf_dir, "documents"), b).join(b.withColumnRenamed("text", "original"), "query_id"))  # three a query
+    hits = d.join(hits, "doc_id")
     return retrieval.hard_negatives(hits).select("query_id", "doc_id", "place")
 
 

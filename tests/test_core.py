@@ -261,3 +261,50 @@ def test_exact_sum_of_large_numbers(spark):
     rows = [(1, 1e20), (1, 1.0), (2, 0.1), (2, 0.2), (2, None), (3, None), (4, float("inf")), (4, 1.0)]
     df = spark.createDataFrame(rows, "k int, x double").groupBy("k").agg(numeric.exact_sum(F.col("x")).alias("s"))
     assert {r["k"]: r["s"] for r in df.collect()} == {1: 1e20, 2: 0.3, 3: None, 4: float("inf")}
+
+
+@pytest.fixture
+def orders(spark, tmp_path):
+    rows = [(i, i % 3, "OFP"[i % 3 - 1], 1000.25 * i, f"{i % 5}-LOW") for i in range(20)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name", ["partial_align", "extract_pairs", "row_gate", "context_valid", "focus_groups", "date_clash_align", "candidate_sentences"])
+def test_alignment_shuffles_cells_and_sentences_once(spark, orders, name):
+    assert exchanges(queries.queries()[name](spark, orders)) <= 2
+
+
+def test_contrastive_rewrite_shuffles_no_pairs(spark, orders):
+    plan = queries.contrastive_rewrite(spark, orders)._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_row_index" in plan and exchanges(queries.contrastive_rewrite(spark, orders)) <= 9
+
+
+def test_ranks_take_one_sort_of_cells(spark, orders):
+    plan = queries.dense_rank_column(spark, orders)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2
+
+
+def test_repeated_places_and_long_partial_matches(spark):
+    cells = spark.createDataFrame([("p", "t", 0, 0, "a b a"), ("p", "t", 1, 0, "x the red fox y")], "page string, table_id string, row_index int, column_index int, text string")
+    sents = spark.createDataFrame([("p", 0, "a b a b a, the red fox"), ("p", 1, None)], "page string, sent_id int, text string")
+    assert sorted((r["start"], r["end"]) for r in align.exact_alignments(cells, sents).collect()) == [(0, 3), (2, 5)]
+    t, c = F.col("t"), F.struct(F.col("c").alias("t"), text_between("c"), F.transform("c", align.may_stand_alone).alias("solo"))
+    got = spark.createDataFrame([("the red fox , a".split(), "x the red fox y".split()), ("the , of".split(), "the x of , z".split()), ("a".split(), ["a"])], "t array<string>, c array<string>").select(align.longest(t, c).alias("b")).collect()
+    assert [r["b"] and tuple(r["b"]) for r in got] == [(0, 3), None, None]
+
+
+def text_between(name):
+    return align.between_blanks(F.col(name)).alias("inside")
+
+
+def test_bm25_shuffles_texts_not_postings(spark):
+    docs = spark.createDataFrame([(i, f"red fox {i} red") for i in range(9)], "doc_id int, text string")
+    asked = spark.createDataFrame([(7, "red fox 3"), (8, "4 fox")], "query_id int, text string")
+    got = retrieval.bm25(docs, asked)
+    assert {(r["query_id"], r["doc_id"]) for r in got.collect() if r["place"] == 1} == {(7, 3), (8, 4)}
+    assert "hashpartitioning(term" not in got._jdf.queryExecution().executedPlan().toString().replace("held", "").split("BroadcastExchange")[0]
