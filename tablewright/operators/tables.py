@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import to_float
 from ..functions.text import MISSING, clean_text, column_name, linearize_row, padded_cell
+from ..session import spread
 
 
 @dataclass(frozen=True)
@@ -37,9 +38,10 @@ def table_id(tables: DataFrame) -> Column:
 def melt(df: DataFrame, table_key: Column, row_order: Column, columns: list[str]) -> DataFrame:
     """A relation's rows as cells: each key is one table.  Headers are the
     column names; the array is exploded within the row, so only ranking the
-    rows shuffles."""
+    rows shuffles, to tasks whose size doesn't grow with the input."""
     nth = F.row_number().over(Window.partitionBy("table_id").orderBy("__order")) - 1
-    rows = df.select(table_key.cast("string").alias("table_id"), row_order.alias("__order"), *(F.col(c).cast("string").alias(c) for c in columns)).withColumn("row_index", nth)
+    keyed = df.select(table_key.cast("string").alias("table_id"), row_order.alias("__order"), *(F.col(c).cast("string").alias(c) for c in columns))
+    rows = spread(keyed, "table_id").withColumn("row_index", nth)
     cells = F.posexplode(F.array(*(F.struct(F.lit(c).alias("header"), clean_text(F.col(c)).alias("text")) for c in columns)))
     return rows.select("table_id", "row_index", cells.alias("column_index", "c")).select("table_id", "row_index", "column_index", "c.header", "c.text")
 
@@ -56,12 +58,12 @@ def ranked(cells: DataFrame) -> DataFrame:
     """Adds ``number`` and ``rank``: dense, from 0, null unless the whole
     column parses.  A row that ends before the column counts as ``none``, which
     doesn't parse (rows without any cell after a table's last one are unknown).
-    Both windows are served by one shuffle on ``table_id``."""
+    All windows are served by one shuffle on ``table_id`` and one sort."""
     column = Window.partitionBy("table_id", "column_index")
-    last = F.max("row_index").over(Window.partitionBy("table_id"))
-    numbers = cells.withColumn("number", to_float(F.col("text"))).withColumn("__last", last)
-    whole = F.count("number").over(column) == F.col("__last") + 1
-    return numbers.withColumn("rank", F.when(whole, F.dense_rank().over(column.orderBy("number")) - 1)).drop("__last")
+    ranks = cells.withColumn("number", to_float(F.col("text"))).withColumn("rank", F.dense_rank().over(column.orderBy("number")) - 1)
+    # Only the first window sorts: its order holds those of the others, which come after it, as the last one refers to ``__n``.
+    counted = ranks.withColumn("__n", F.count("number").over(column)).withColumn("__last", F.max(F.when(F.col("__n") >= 0, F.col("row_index"))).over(Window.partitionBy("table_id")))
+    return counted.withColumn("rank", F.when(F.col("__n") == F.col("__last") + 1, F.col("rank"))).drop("__n", "__last")
 
 
 def column_types(cells: DataFrame) -> DataFrame:
