@@ -121,12 +121,6 @@ def tokens_with_offsets(text: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
-def ngrams(items: Column, n: Column) -> Column:
-    """All windows of ``n`` items with their position."""
-    last = F.size(items) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(items, i + 1, n), " ").alias("gram")))).otherwise(F.expr("cast(array() as array<struct<start:int,gram:string>>)"))
-
-
 def sentences(paragraph: Column) -> Column:
     """Sentences by rule: a stop, exclamation or question mark ends one when
     blanks and an upper-case letter, digit or quote follow, unless a single
