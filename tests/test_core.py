@@ -289,6 +289,45 @@ def test_ranks_take_one_sort_of_cells(spark, orders):
     assert plan.count("Sort [") == 2
 
 
+@pytest.fixture
+def odd_texts(spark, tmp_path):
+    said = [None, "", "--", "a b fox", "a\nb, fox FOX", "½ x² a", "ΌΣΟΣ b", "c", "a b fox", "a_b a", "ⅷ c a‿b"]
+    docs = [(None if i % 11 == 3 else i % 29, said[i * i % 11], "w") for i in range(80)] + [(100 + i, "a b fox", "w") for i in range(300)] + [(None, "rare", "w"), (50, "rare", "w"), (50, "rare two", "w")]
+    asked = [(None, "a ½"), (1, "fox fox"), (1, "b"), (2, None), (3, "zzz"), (4, "όσοσ c x²"), (5, "a‿b ⅷ"), (6, "rare")]
+    spark.createDataFrame(docs, "doc_id long, text string, words string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_bm25_equals_its_sql_on_odd_texts_and_repeated_ids(spark, odd_texts):
+    import duckdb
+
+    for name in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS FROM '{odd_texts}/{name}.parquet/*.parquet'")
+    want = sorted(duckdb.sql(queries.oracle_sql()["bm25_topk"]).fetchall(), key=str)
+    assert len(want) > 10 and any(r[1] is None for r in want)
+    assert sorted(map(tuple, queries.bm25_topk(spark, odd_texts).collect()), key=str) == want
+
+
+def test_bm25_scores_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    known, n = ["a", "b"], 50
+    model = {"known": known, "asked": [{"query_id": 1, "words": ["a"]}, {"query_id": 2, "words": ["b", "b"]}, {"query_id": 3, "words": []}], "counts": [{"term": t, "n": c} for t, c in ((-1, n), (-2, n), (-3, 3 * n), (0, n), (1, n))]}
+    rows = pa.RecordBatch.from_pylist([{"doc_id": i, "len": 3, "terms": [0, 1], "tfs": [1 + (i == 40), 1 + i % 2], "model": model if i == 0 else None} for i in range(n)])
+    got = []
+    for cells in (1 << 20, 7, 1):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        got.append(sorted((r["query_id"], r["doc_id"]) for b in retrieval.scores(3, 0.9, 0.4)(iter([rows.slice(0, 20), rows.slice(20)])) for r in b.to_pylist()))
+    assert got == [[(1, 0), (1, 1), (1, 40), (2, 1), (2, 3), (2, 5)]] * 3
+
+
+def test_bm25_shuffles_no_pairs_of_queries_and_documents(spark, odd_texts):
+    plan = queries.bm25_topk(spark, odd_texts)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((query_id#\d+L?, doc_id|doc_id#\d+L?, query_id|term#\d+, doc_id)", plan)
+    assert plan.count("hashpartitioning(doc_id") <= 2
+
+
 def test_repeated_places_and_long_partial_matches(spark):
     cells = spark.createDataFrame([("p", "t", 0, 0, "a b a"), ("p", "t", 1, 0, "x the red fox y")], "page string, table_id string, row_index int, column_index int, text string")
     sents = spark.createDataFrame([("p", 0, "a b a b a, the red fox"), ("p", 1, None)], "page string, sent_id int, text string")
